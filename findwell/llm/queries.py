@@ -7,9 +7,13 @@ from importlib import import_module
 #: query name -> module that holds it
 MODULES = {
     "op2_token_counts": "token_counts",
+    "op4_benchmark_decontamination": "decontamination",
+    "op7_source_mixing": "mixing",
     "op9_simhash_near_dedup": "simhash",
 }
 
 QUERIES = {name: getattr(import_module(f"findwell.llm.{module}"), name) for name, module in MODULES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": import_module("findwell.llm.mixing").ORACLE_SQL,
+}

@@ -84,11 +84,9 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "doc_id"
         joined = own.join(salted, F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_own_salt") == F.col("mix_salt")))
     name, ident = F.lit(str(seed)), F.col(id_col)
 
-    def drawn(part: Column) -> Column:
-        u = uniform(name, ident, part)
-        return F.size(F.filter("mix_table", lambda p: p <= u))
-
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0).cast("bigint"), lambda total, part: total + drawn(part))
+    # numbers first, one for each part, so that a table's entries compare with a value
+    numbers = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda part: uniform(name, ident, part))
+    copies = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda total, u: total + F.size(F.filter("mix_table", lambda p: p <= u)))
     counted = joined.withColumn("mix_copies", copies).where(F.col("mix_copies") > 0)
     exploded = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies"))).alias("copy"))
     key = F.xxhash64(name, F.coalesce(ident.cast("string"), F.lit("")), F.col("copy"))

@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 #: Spaces before each text.
-PAD = 6
+PAD = 8
 _BASE = 0x9E3779B97F4A7C15
 
 

@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module that holds it
 MODULES = {
     "op1_language_id": "language_id",
+    "op10_toxicity": "toxicity",
     "op2_token_counts": "token_counts",
     "op4_benchmark_decontamination": "decontamination",
     "op7_source_mixing": "mixing",

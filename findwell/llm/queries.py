@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_language_id": "language_id",
     "op10_toxicity": "toxicity",
+    "op8_quality_classifier": "quality",
     "op2_token_counts": "token_counts",
     "op4_benchmark_decontamination": "decontamination",
     "op7_source_mixing": "mixing",

@@ -10,6 +10,7 @@ MODULES = {
     "op10_toxicity": "toxicity",
     "op8_quality_classifier": "quality",
     "op2_token_counts": "token_counts",
+    "op3_lm_scoring": "lm_scoring",
     "op4_benchmark_decontamination": "decontamination",
     "op7_source_mixing": "mixing",
     "op9_simhash_near_dedup": "simhash",

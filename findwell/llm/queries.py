@@ -12,6 +12,7 @@ MODULES = {
     "op2_token_counts": "token_counts",
     "op3_lm_scoring": "lm_scoring",
     "op4_benchmark_decontamination": "decontamination",
+    "op6_suffix_array_dedup": "suffix_dedup",
     "op7_source_mixing": "mixing",
     "op9_simhash_near_dedup": "simhash",
 }
@@ -19,5 +20,6 @@ MODULES = {
 QUERIES = {name: getattr(import_module(f"findwell.llm.{module}"), name) for name, module in MODULES.items()}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_suffix_array_dedup": "suffix_dedup",
     "op7_source_mixing": import_module("findwell.llm.mixing").ORACLE_SQL,
 }

@@ -50,9 +50,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
         w = weights.groupBy(F.col("source").alias("named")).agg(F.sum("weight").alias("weight"))
         counts = counts.join(w, F.col("source").eqNullSafe(F.col("named"))).drop("named")
     counts = saved(counts, "source-counts")
-    totals = counts.agg(F.sum("weight").alias("all_weight"))
-    rows = docs.agg(F.count("*").alias("all_rows"))
-    return counts.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(rows)).select("source", (F.col("weight") / F.col("all_weight") * F.col("all_rows") * F.lit(float(epochs)) / F.col("n")).alias("rate"))
+    weight_sum, = counts.agg(F.sum("weight")).first()
+    rows = docs.count()
+    return counts.select("source", (F.col("weight") / F.lit(float(weight_sum or 1)) * F.lit(float(rows)) * F.lit(float(epochs)) / F.col("n")).alias("rate"))
 
 
 def _with_table(rates: DataFrame) -> DataFrame:

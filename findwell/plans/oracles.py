@@ -30,7 +30,7 @@ _VOID = ", ".join(f"'{t}'" for t in VOID_TAGS)
 _NAMES = ", ".join(f"'{t}'" for t in META_NAMES)
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '<!>', 'gs'), '<script[^>]*>.*?</script>', '<!>', 'gis'), '<style[^>]*>.*?</style>', '<!>', 'gis')"
 _RUN = "<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]*)"
-_PLAIN = "regexp_replace(txt, '&(amp|quot|lt|gt|apos|copy|middot|nbsp);?', ' ', 'g')"
+_PLAIN = "regexp_replace(txt, '&([a-zA-Z][a-zA-Z0-9]*;|amp|quot|lt|gt|apos|copy|middot|nbsp)', ' ', 'g')"
 
 
 def _attr(name: str) -> str:

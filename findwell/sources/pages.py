@@ -23,7 +23,7 @@ PAGE_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField(
 
 RAW_BLOCKS = ["(?s)<!--.*?-->", "(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>"]
 START_TAG = "<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]*)"
-ENTITY = "&(amp|quot|lt|gt|apos|copy|middot|nbsp);?"
+ENTITY = "&([a-zA-Z][a-zA-Z0-9]*;|amp|quot|lt|gt|apos|copy|middot|nbsp)"
 META_TAG = "(?i)<meta[^>]*>"
 
 

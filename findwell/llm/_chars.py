@@ -29,18 +29,21 @@ def stream(texts: list[str], pad: int = PAD) -> tuple[np.ndarray, np.ndarray, np
     mark = "\x01" * pad
     low = [t.lower().replace("\x01", " ") for t in texts]
     sizes = np.fromiter(map(len, low), np.int64, len(low)) + pad
-    points = np.frombuffer((mark + mark.join(low)).encode("utf-32-le", "surrogatepass"), np.uint32) if low else np.empty(0, np.uint32)
+    if not low:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    # one mark more, where the last text's last word can end
+    points = np.frombuffer((mark + mark.join(low) + "\x01").encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = _kinds()[points]
     letter = kinds == 1
     after = np.zeros(len(points), bool)
     after[1:] = letter[:-1]
     keep = letter | after | (kinds == 2)
-    owner = np.repeat(np.arange(len(low)), sizes)[keep]
+    owner = np.append(np.repeat(np.arange(len(low)), sizes), len(low))[keep]
     chars = np.where(letter, points, 32)[keep]
     counts = (letter | after)[keep]
     # the space that ends a text's last word lies in the next one's pad
     owner[1:][counts[1:] & (kinds[keep][1:] == 2)] -= 1
-    return chars.astype(np.uint64), owner, counts
+    return chars.astype(np.uint64), np.minimum(owner, len(low) - 1), counts
 
 
 def rolling(chars: np.ndarray, longest: int) -> list[np.ndarray]:

@@ -53,6 +53,8 @@ class KneserNey:
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.languages, self.order = sorted(texts), order
+        if not texts:
+            return
         held = {n: t[::5] if len(t) >= 10 else t for n, t in texts.items()}
         self._learn({n: [x for k, x in enumerate(t) if len(t) < 10 or k % 5] for n, t in texts.items()})
         self._calibrate(held)

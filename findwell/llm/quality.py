@@ -194,7 +194,7 @@ class RuleEnsemble:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS) -> RuleEnsemble:
     sample = labelled_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
     texts = [t.encode() for t in sample["text"]]
-    off = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+    off = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))].astype(np.int64)
     x = statistics(np.frombuffer(b"".join(texts), np.uint8), off, texts)
     shares = {int(y): int(n) for y, n in sample.groupby("y")["of_class"].first().items()}
     return RuleEnsemble(x, sample["y"].to_numpy(), shares)

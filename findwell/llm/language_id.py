@@ -32,9 +32,9 @@ from findwell.llm._split import remainder
 
 ORDER = 5
 #: Texts of a language that are learnt from at most; a fifth of them only calibrate.
-PER_LANGUAGE = 400
-#: Standard deviations beyond which a text is rejected.
-REJECT_SD = 8.0
+PER_LANGUAGE = 200
+#: Standard deviations beyond which a text is rejected; texts that mix learnt languages stay within.
+REJECT_SD = 14.0
 #: Characters that count at most for how sure a prediction is.
 SURE_CHARS = 60
 UNKNOWN = "und"

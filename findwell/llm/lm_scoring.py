@@ -37,8 +37,8 @@ from findwell.llm._split import remainder
 from findwell.llm.attention import SYMBOLS, Attention
 from findwell.session import saved
 
-#: Bytes of text of a block, about.
-BLOCK_BYTES = 6_000_000
+#: Bytes of text of a block, about; small inputs have smaller ones, so that all cores have work.
+BLOCK_BYTES, LEAST_BLOCK_BYTES = 14_000_000, 1_000_000
 #: Training documents that the attention model's weights learn from at most.
 TRAIN_DOCS = 1_500
 STEPS = 700
@@ -116,7 +116,7 @@ def fit_attention(docs: DataFrame, learn: Column, path: str, pattern: str, train
     packed = [b"".join(map(own.symbols, t)) + b"\0\0" for t in split]
     symbols = np.frombuffer(b"".join(packed), np.uint16).astype(np.int64)
     lengths = np.array([len(p) // 2 for p in packed], np.int64)
-    model = Attention(np.bincount(symbols, minlength=SYMBOLS), dim=24, inner=48)
+    model = Attention(np.bincount(symbols, minlength=SYMBOLS), dim=20, inner=40, stride=26)
     model.train(symbols, lengths, steps)
     return kept, model
 
@@ -178,7 +178,7 @@ def lm_scores(docs: DataFrame, learn: Column, path: str, pattern: str, block_byt
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_bytes, n_train = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(learn, 1))).first()
-    n_blocks = max(1, -(-n_bytes // block_bytes))
+    n_blocks = max(1, -(-n_bytes // block_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // LEAST_BLOCK_BYTES)))
     kept, model = fit_attention(docs, learn, path, pattern, train_docs, steps)
     parts = max(1, min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keyed = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("teaches"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"))

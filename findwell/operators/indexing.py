@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from findwell.config import Config
 from findwell.functions.stemming import with_stem
 from findwell.functions.text import path_parts, words
+from findwell.session import saved
 from findwell.sources.pages import segments
 
 
@@ -35,8 +36,12 @@ def occurrences(tokens: DataFrame) -> DataFrame:
 
 
 def stemmed(occ: DataFrame, config: Config = Config()) -> DataFrame:
-    """Tokens replaced by their stems; each distinct word is stemmed once."""
-    stems = with_stem(occ.select(F.col("token").alias("word")).distinct())
+    """Tokens replaced by their stems; each distinct word is stemmed once.
+
+    Stems are written first: a filter on them must not be pushed into the steps,
+    whose expressions would grow with every one it passes.
+    """
+    stems = saved(with_stem(occ.select(F.col("token").alias("word")).distinct()), "stems")
     return occ.join(stems, occ["token"] == stems["word"]).select("doc_id", "pos", "tag", F.col("stem").alias("token"))
 
 

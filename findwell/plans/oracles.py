@@ -49,8 +49,8 @@ PAGE_OCC = f"""{SEGS},
 pw AS (SELECT page_id, seg, tag, {words("txt")} AS ws FROM segs),
 pocc AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY seg, j) - 1 AS pos, tag, ws[j] AS token FROM pw, unnest(range(1, len(ws) + 1)) AS r(j))"""
 # of one occurrence table: tags in the order of first use, at most 100
-TAGGED = f"""firsts AS (SELECT doc_id, token, tag, min(pos) AS at FROM occ GROUP BY doc_id, token, tag),
-tagged AS (SELECT doc_id, token, 10.0::DOUBLE * (1.0::DOUBLE + list_sum(list_transform((list(tag ORDER BY at))[1:100], lambda t: {TAGS}))) AS tag FROM firsts GROUP BY doc_id, token)"""
+TAGGED = f"""firsts AS (SELECT doc_id, token, tag, min(pos) AS first_pos FROM occ GROUP BY doc_id, token, tag),
+tagged AS (SELECT doc_id, token, 10.0::DOUBLE * (1.0::DOUBLE + list_sum(list_transform(list_slice(list(tag ORDER BY first_pos), 1, 100), lambda t: {TAGS}))) AS tag FROM firsts GROUP BY doc_id, token)"""
 
 
 def rank_ctes(queries: list[tuple[int, list[str], int]], mode: str, size: str, most_postings: int = -1, compat: bool = False) -> str:

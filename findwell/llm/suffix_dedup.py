@@ -39,6 +39,8 @@ LENGTH, GRAM = 200, 64
 SORT_BYTES = 1_200_000
 #: Different stretches of an anchor beyond which it is split by a second one.
 SPLIT_STRETCHES = 2_000
+#: One text of so many is sampled for hot anchors; rows there that make an anchor hot; parts of a hot anchor.
+SAMPLE, HOT_IN_SAMPLE, SPREAD = 64, 100, 64
 _PLACE_BITS = 28
 
 
@@ -186,7 +188,8 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
     Rows stream by. The first row of the present anchor and that of its present
     content go into the next step again, so both may return more than once.
     A repeated stretch returns each of its places and, if its anchor has other
-    stretches, one place to be sorted.
+    stretches, one place to be sorted. Rows of hot anchors are spread by their
+    content; such anchors are taken to have other stretches elsewhere.
     """
     carried: pa.Table | None = None
 
@@ -203,11 +206,11 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
         begins = ~same_content
         starts = np.flatnonzero(~same_anchor)
         kinds = np.add.reduceat(begins.astype(np.int64), starts)
-        opened = begins & np.repeat(kinds > 1, np.diff(np.r_[starts, n]))
+        opened = begins & (np.repeat(kinds > 1, np.diff(np.r_[starts, n])) | table["hot"].to_numpy())
         take = np.r_[np.flatnonzero(whole), np.flatnonzero(opened)]
         out = None
         if len(take):
-            found = table.take(pa.array(take)).append_column("whole", pa.array(np.arange(len(take)) < whole.sum()))
+            found = table.drop_columns(["hot"]).take(pa.array(take)).append_column("whole", pa.array(np.arange(len(take)) < whole.sum()))
             out = found.combine_chunks().to_batches()[0]
         return out, table.take(pa.array(np.unique([starts[-1], np.flatnonzero(begins)[-1]])))
 
@@ -301,7 +304,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     """(doc, spans) of rows (doc, text): places [a, b) that repeated strings cover, unmerged; rows without are left out."""
     bounded_batches(docs.sparkSession)
     found = docs.where(F.octet_length("text") >= length).mapInArrow(_find_stretches(length, gram), _STRETCH)
-    sieved = saved(found.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_sieve, _STRETCH + ", whole boolean"), "stretches")
+    # anchors that are frequent in a sample of texts are spread; which ones only sets how rows are dealt
+    sampled = docs.where((F.octet_length("text") >= length) & (F.pmod("doc", F.lit(SAMPLE)) == 0)).mapInArrow(_find_stretches(length, gram), _STRETCH)
+    hot = saved(sampled.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    found = found.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spread = F.when(F.col("hot"), F.pmod("content", F.lit(SPREAD))).otherwise(F.lit(0))
+    dealt = found.select("anchor", "content", "doc", "first", "more", "hot", spread.alias("spread")).repartition("anchor", "spread").sortWithinPartitions("anchor", "content")
+    sieved = saved(dealt.drop("spread").mapInArrow(_sieve, _STRETCH + ", whole boolean"), "stretches")
     whole = sieved.where("whole").select("doc", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
     opened = sieved.where("not whole").select("anchor", "doc", "first", "more").distinct()
     crowded = saved(opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > split).select("anchor", F.lit(True).alias("split")), "crowded")

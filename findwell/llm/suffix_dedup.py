@@ -13,7 +13,9 @@ Consecutive strings with one anchor form a stretch. A stretch whose anchor occur
 nowhere else holds no repeated string; stretches with equal bytes are repeated as
 a whole, and one of them stands for all; only the different stretches of an anchor
 are sent, by the anchor, to be sorted. Anchors with many different stretches are
-split first by a second anchor under another hash.
+not sorted: their stretches are cut into parts by the distance from the anchor, a
+part is judged by the bytes all its strings share, and the strings of parts that
+occur again are counted one by one, by 128 bits of hashes. No task holds an anchor.
 
 Defined results: null texts are empty; texts shorter than `length` bytes lose
 nothing; a repeated row's strings are repeated strings. Ids may be null or occur
@@ -37,22 +39,31 @@ from findwell.session import saved
 LENGTH, GRAM = 200, 64
 #: Bytes of stretches that are sorted together, about.
 SORT_BYTES = 1_200_000
-#: Different stretches of an anchor beyond which it is split by a second one.
+#: Different stretches of an anchor beyond which its strings are counted instead of sorted.
 SPLIT_STRETCHES = 2_000
+#: Strings of a part, at most.
+PART = 16
 #: One text of so many is sampled for hot anchors; rows there that make an anchor hot; parts of a hot anchor.
 SAMPLE, HOT_IN_SAMPLE, SPREAD = 64, 100, 64
 _PLACE_BITS = 28
+#: Values that three of fit in a key; values and lengths that two of fit.
+_NARROW, _WIDE = 1 << 21, 1 << 31
+#: Random numbers of bytes, for the second hash of strings.
+_BYTE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 # suffix sorting ---------------------------------------------------------------
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of their suffixes, up to `depth` symbols; symbols are over 0, values and length below 2^21.
+    """Places in the order of their suffixes, up to `depth` symbols; symbols are over 0, values and length below 2^31.
 
     Suffixes that agree in `depth` symbols stand together in any order.
     """
     n = len(s)
+    most = max(n + 2, int(s.max()) if n else 0)
+    if most >= _WIDE:
+        raise ValueError(f"suffixes of {n} symbols up to {most}: values and length must be below 2^31")
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.zeros(n + 3, np.int64)
@@ -61,7 +72,11 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)
     two = np.arange(2, n, 3)
     sampled = np.concatenate([one, two])
-    key = (t[sampled] << 42) | (t[sampled + 1] << 21) | t[np.minimum(sampled + 2, n + 2)]
+    third = t[np.minimum(sampled + 2, n + 2)]
+    if most < _NARROW:
+        key = (t[sampled] << 42) | (t[sampled + 1] << 21) | third
+    else:
+        key = (np.unique((t[sampled] << 31) | t[sampled + 1], return_inverse=True)[1] << 31) | third
     order = np.argsort(key)
     new = np.empty(len(key), bool)
     new[0] = True
@@ -78,13 +93,15 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     placed = placed[placed < n]
     first, second = placed[placed % 3 == 1], placed[placed % 3 == 2]
     rest = np.arange(0, n, 3)
-    rest = rest[np.argsort((t[rest] << 21) | rank[rest + 1], kind="stable")]
-    before_one = np.searchsorted((t[first] << 21) | rank[first + 1], (t[rest] << 21) | rank[rest + 1])
-
-    def pair(i):
-        return (t[i] << 42) | (t[i + 1] << 21) | rank[i + 2]
-
-    before_two = np.maximum.accumulate(np.searchsorted(np.maximum.accumulate(pair(second)), pair(rest))) if len(rest) else np.empty(0, np.int64)
+    rest = rest[np.argsort((t[rest] << 31) | rank[rest + 1], kind="stable")]
+    before_one = np.searchsorted((t[first] << 31) | rank[first + 1], (t[rest] << 31) | rank[rest + 1])
+    both = np.concatenate([second, rest])
+    if most < _NARROW:
+        triple = (t[both] << 42) | (t[both + 1] << 21) | rank[both + 2]
+    else:
+        triple = (np.unique((t[both] << 31) | t[both + 1], return_inverse=True)[1] << 31) | rank[both + 2]
+    of_second, of_rest = triple[: len(second)], triple[len(second) :]
+    before_two = np.maximum.accumulate(np.searchsorted(np.maximum.accumulate(of_second), of_rest)) if len(rest) else np.empty(0, np.int64)
     before_one = np.maximum.accumulate(before_one)
     out = np.empty(n, np.int64)
     at = np.arange(len(rest)) + before_one + before_two
@@ -231,8 +248,8 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
             yield out
 
 
-def _cut(length: int, gram: int):
-    """Bytes of the stretches wanted of each text; those of split anchors go by a second anchor."""
+def _cut(length: int):
+    """Bytes of the stretches wanted of each text, by their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
@@ -241,21 +258,101 @@ def _cut(length: int, gram: int):
             for d, text, wanted in zip(docs, as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 for w in wanted:
                     f, m = w["first"], w["more"]
-                    piece = text[f : f + m + length]
-                    if not w["split"]:
-                        keys.append(w["anchor"]), doc.append(d), first.append(f), more.append(m), data.append(piece)
-                        continue
-                    raw = np.frombuffer(piece, np.uint8)
-                    _, f2, m2, a2, _, _ = stretches(raw, np.array([0, len(raw)]), length, gram, salt=1)
-                    second = _mix(a2 ^ np.uint64(w["anchor"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                    for x, y, z in zip(f2.tolist(), m2.tolist(), second.tolist()):
-                        keys.append(z), doc.append(d), first.append(f + x), more.append(y), data.append(piece[x : x + y + length])
+                    keys.append(w["anchor"]), doc.append(d), first.append(f), more.append(m), data.append(text[f : f + m + length])
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(more, pa.int32()), pa.array(data, pa.binary())], names=["key", "doc", "first", "more", "bytes"])
 
     return run
 
 
+# crowded anchors ----------------------------------------------------------------
+
+
+def _expanded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and number of each of `counts` things of owners."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _wanted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, more) of a column of lists."""
+    row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    inner = column.flatten()
+    return row, inner.field("first").to_numpy().astype(np.int64), inner.field("more").to_numpy().astype(np.int64)
+
+
+def parts(data: np.ndarray, off: np.ndarray, row: np.ndarray, first: np.ndarray, length: int, gram: int, part: int = PART):
+    """(row, first start, further starts, key) of the parts of the stretches that start at `first` of `row`.
+
+    Equal strings have their anchor at the same distance, so they are in parts of
+    the same number; the key is a hash of the bytes that all strings of such a part
+    share, whichever of them the stretch has.
+    """
+    part = max(1, min(part, length // 8))
+    rows, begin, more, anchor, _, distance = stretches(data, off, length, gram)
+    kept = np.isin((rows << 32) | begin, (row << 32) | first)
+    rows, begin, more, anchor, distance = rows[kept], begin[kept], more[kept], anchor[kept], distance[kept]
+    owner, k = _expanded(more + 1)
+    number = (distance[owner] - k) // part
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])][: len(owner)])
+    size = np.diff(np.r_[new, len(owner)])
+    owner, k, number = owner[new], k[new], number[new]
+    at = off[rows[owner]] + begin[owner] + distance[owner]
+    sums, down = _hashes(data)
+    a, b = at - number * part, at - (number + 1) * part + 1 + length
+    key = _mix((sums[b] - sums[a]) * down[a] + _mix(anchor[owner] + number.astype(np.uint64)))
+    return rows[owner], begin[owner] + k, size - 1, key
+
+
+def _find_parts(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=1 << 19):
+            wanted, starts, _ = _wanted(batch.column(2))
+            row, first, more, key = parts(*flat(batch.column(1)), wanted, starts, length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[row]), pa.array(first.astype(np.int32)), pa.array(more.astype(np.int32))], names=["key", "doc", "first", "more"])
+
+    return run
+
+
+def _find_strings(length: int):
+    """Two hashes of every string wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=1 << 19):
+            data, off = flat(batch.column(1))
+            row, first, more = _wanted(batch.column(2))
+            owner, k = _expanded(more + 1)
+            start = first[owner] + k
+            p = off[row[owner]] + start
+            sums, down = _hashes(data)
+            other = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(_BYTE[data] * _powers_of(len(data) + 1)[0][:-1], out=other[1:])
+            pair = [_mix((x[p + length] - x[p]) * down[p]).view(np.int64) for x in (sums, other)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, pair), pa.array(batch.column(0).to_numpy()[row[owner]]), pa.array(start.astype(np.int32))], names=["key", "other", "doc", "first"])
+
+    return run
+
+
+def _occurring_again(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Rows whose keys other rows have too; counts start before the shuffle, so that no key is hot."""
+    again = saved(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), label)
+    return df.join(F.broadcast(again) if again.count() <= 100_000 else again, keys, "left_semi")
+
+
+def _crowded_spans(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, a, b) of the strings in stretches `opened` (doc, first, more) that occur in others of them."""
+
+    def with_wanted(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("wanted"))
+        return docs.join(wanted, "doc").select("doc", "text", "wanted")
+
+    found = saved(with_wanted(opened).mapInArrow(_find_parts(length, gram), "key bigint, doc bigint, first int, more int"), "parts")
+    # a repeated row's parts are wanted once
+    again = _occurring_again(found, ["key"], "repeated-parts").select("doc", "first", "more").distinct()
+    strings = saved(with_wanted(again).mapInArrow(_find_strings(length), "key bigint, other bigint, doc bigint, first int"), "strings")
+    return _occurring_again(strings, ["key", "other"], "repeated-strings").select("doc", F.col("first").alias("a"), (F.col("first") + length).alias("b"))
+
+
 def _sort(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "key", rows=SORT_BYTES // (length + 60)):
@@ -269,7 +366,7 @@ def _sort(length: int):
             at = 0
             rows = np.flatnonzero(company)
             while at < len(rows):
-                # whole keys up to the bound of a sort; a key alone may exceed it and is sorted whole
+                # whole keys up to the bound of a sort; a key alone has `split` stretches at most
                 to = at + max(1, int(np.searchsorted(np.cumsum((off[rows[at:] + 1] - off[rows[at:]]) + 1), SORT_BYTES, side="right")))
                 if to < len(rows):
                     cut = at + int(np.searchsorted(key[rows[at:to]], key[rows[to]], side="left")) if key[rows[to - 1]] == key[rows[to]] else to
@@ -314,12 +411,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     whole = sieved.where("whole").select("doc", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
     opened = sieved.where("not whole").select("anchor", "doc", "first", "more").distinct()
     crowded = saved(opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > split).select("anchor", F.lit(True).alias("split")), "crowded")
-    small = crowded.count() <= 100_000
-    opened = opened.join(F.broadcast(crowded) if small else crowded, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    wanted = opened.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "more", "split")).alias("wanted"))
-    pieces = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut(length, gram), "key bigint, doc bigint, first int, more int, bytes binary")
+    n_crowded = crowded.count()
+    opened = opened.join(F.broadcast(crowded) if n_crowded <= 100_000 else crowded, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    wanted = opened.where(~F.col("split")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "more")).alias("wanted"))
+    pieces = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut(length), "key bigint, doc bigint, first int, more int, bytes binary")
     sorted_out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "doc bigint, a int, b int")
     spans = saved(sorted_out, "sorted-spans").unionByName(whole)
+    if n_crowded:
+        spans = spans.unionByName(_crowded_spans(docs, opened.where("split"), length, gram))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

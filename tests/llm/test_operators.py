@@ -300,6 +300,31 @@ def test_suffix_order():
         assert suffix_dedup.suffix_order(s, 10**6).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_order_of_large_symbols():
+    # of these two pairs 21 bits make one key
+    rng = np.random.default_rng(2)
+    for n in (5, 40, 61):
+        s = rng.choice([100, 101, 5, (1 << 21) + 5, (1 << 22) + 9], n)
+        assert suffix_dedup.suffix_order(s, 10**6).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_order(np.array([1, 1 << 31, 2, 3]), 10)
+
+
+def test_one_passage_in_many_texts(spark):
+    rng = random.Random(5)
+
+    def word(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    passage, rows = word(150), []
+    for k in range(20_000):
+        near = rows[rng.randrange(len(rows))][1] if k % 200 == 199 else ""
+        # some texts have 30 bytes before and after the passage from another
+        rows.append((k, word(20) + near[-210:] + word(20) if near else word(60) + passage + word(60)))
+    got = suffix_dedup.removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert as_rows(got.drop("removed")) == _cut(rows, 200)
+
+
 def test_cut_texts_stay_valid(spark, odd, none):
     twice = "é" * 150
     df = spark.createDataFrame([(1, "a" + twice, "x"), (2, "bb" + twice + "c", "y"), (3, None, "z")], "doc_id long, text string, dedup_note string")

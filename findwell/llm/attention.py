@@ -185,28 +185,45 @@ class Attention:
 
     def train(self, symbols: np.ndarray, lengths: np.ndarray, steps: int, batch: int = 96, rate: float = 0.01, seed: int = 0) -> float:
         """Adam steps on windows drawn at random; returns the mean loss of the last tenth."""
-        text, begin, scored = self.windows(lengths)
-        if not len(text):
+        n = int(self.windows(lengths)[0].size)
+        if not n:
             return 0.0
         rng = np.random.default_rng(seed)
+        picks = (rng.integers(0, n, min(batch, n)) for _ in range(steps))
+        losses = self._descend(symbols, lengths, picks, lambda step: rate * min(1.0, step / 20) * (1 - 0.9 * step / steps), self.moments())
+        return float(np.mean(losses[-max(1, steps // 10) :]))
+
+    def train_all(self, symbols: np.ndarray, lengths: np.ndarray, state: list, rate: float, batch: int = 96) -> int:
+        """Adam steps on every window once, in random order, from `state` on; returns the number of windows."""
+        n = int(self.windows(lengths)[0].size)
+        order = np.random.default_rng(state[2]).permutation(n)
+        self._descend(symbols, lengths, (order[a : a + batch] for a in range(0, n, batch)), lambda step: rate * min(1.0, step / 20), state)
+        return n
+
+    def moments(self) -> list:
+        """First and second moments of Adam, and the steps so far."""
+        return [{n: np.zeros_like(v) for n, v in self.p.items()}, {n: np.zeros_like(v) for n, v in self.p.items()}, 0]
+
+    def _descend(self, symbols: np.ndarray, lengths: np.ndarray, picks, pace_of, state: list) -> list[float]:
+        text, begin, scored = self.windows(lengths)
         starts = np.cumsum(lengths) - lengths
         previous = np.empty(len(symbols), np.int64)
         previous[1:] = symbols[:-1]
         previous[starts[lengths > 0]] = 0
-        first = {n: np.zeros_like(v) for n, v in self.p.items()}
-        second = {n: np.zeros_like(v) for n, v in self.p.items()}
+        first, second, step = state
         place, losses = np.arange(self.window), []
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(text), min(batch, len(text)))
+        for pick in picks:
+            step += 1
             t, b, s = text[pick], begin[pick], scored[pick]
             inside = b[:, None] + place
             wanted = (inside >= s[:, None]) & (inside < lengths[t][:, None])
             index = starts[t][:, None] + np.minimum(inside, lengths[t][:, None] - 1)
             loss, g = self.gradients(previous[index], symbols[index], wanted)
             losses.append(loss)
-            pace = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
+            pace = pace_of(step)
             for n, v in g.items():
                 first[n] += 0.1 * (v - first[n])
                 second[n] += 0.01 * (v * v - second[n])
                 self.p[n] -= (pace * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        return float(np.mean(losses[-max(1, steps // 10) :]))
+        state[2] = step
+        return losses

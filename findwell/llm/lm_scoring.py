@@ -12,8 +12,11 @@ spells any word. Its windows overlap, and each subword is scored once. Several
 fixed weights of the mixture are averaged per text in the Bayesian way, so the
 result is the probability of the whole text's words and its end.
 
-The attention model's weights learn from `train_docs` whole training documents at
-most, picked by a hash of the id; the corpus counts cover all of them.
+The attention model's weights begin on `train_docs` whole training documents, picked
+by a hash of the id, and then learn from every window of all training documents:
+in rounds, parts of about equal size train copies of the model, whose weights are
+averaged by their windows. Steps are in proportion to the text. The symbols are the
+most frequent subwords of all training documents.
 
 Defined results: null and empty texts have one token, the end. Without training
 documents train_tokens is 0, base_score is that of the formula with N = V = 0, and
@@ -24,6 +27,7 @@ empty id text; repeated rows return one row each; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,9 +43,12 @@ from findwell.session import saved
 
 #: Bytes of text of a block, about; small inputs have smaller ones, so that all cores have work.
 BLOCK_BYTES, LEAST_BLOCK_BYTES = 14_000_000, 1_000_000
-#: Training documents that the attention model's weights learn from at most.
+#: Training documents and steps that the attention model's weights begin with.
 TRAIN_DOCS = 1_500
 STEPS = 700
+#: Rounds in which all training documents are learnt from, bytes of text that train one copy, copies averaged in one task.
+ROUNDS, PART_BYTES, FAN = 4, 4_000_000, 32
+RATE = 0.003
 #: Weights of the corpus counts in the mixtures that are averaged.
 MIXTURES = (0.05, 0.3, 0.6, 0.9)
 _BYTES = 256
@@ -96,28 +103,106 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def fit_attention(docs: DataFrame, learn: Column, path: str, pattern: str, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> tuple[tuple[int, ...], Attention]:
-    """(subword ids kept as symbols, model), learnt from a bounded sample of training documents."""
+def subword_counts(corpus: DataFrame, path: str, pattern: str) -> dict[int, int]:
+    """Occurrences of each subword id in the words (word, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = _subwords(path, pattern, ()), Counter()
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for i in own.ids(w):
+                    seen[i] += c
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["id", "c"])
+
+    return dict(map(tuple, corpus.select("word", "c").mapInArrow(run, "id bigint, c bigint").groupBy("id").agg(F.sum("c")).collect()))
+
+
+def _packed(texts: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts end to end, and their numbers."""
+    packed = [b"".join(subwords.symbols(w.decode()) for w in words_of(t)) + b"\0\0" for t in texts]
+    return np.frombuffer(b"".join(packed), np.uint16).astype(np.int64), np.array([len(p) // 2 for p in packed], np.int64)
+
+
+def _mean(parts: list[tuple[int, int, bytes]]) -> tuple[int, bytes]:
+    """Windows and mean weights of (part, windows, weights), in the order of the parts."""
+    n = sum(x[1] for x in parts)
+    total = sum(np.frombuffer(x[2], np.float32).astype(np.float64) * (x[1] / max(n, 1)) for x in sorted(parts))
+    return n, total.astype(np.float32).tobytes()
+
+
+def train_everywhere(rows: DataFrame, model: Attention, kept: tuple[int, ...], path: str, pattern: str, rounds: int = ROUNDS, part_bytes: int = PART_BYTES) -> int:
+    """Trains `model` on every window of rows (doc_id, text) once; returns the number of windows."""
+    spark = rows.sparkSession
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_parts = max(1, -(-n_bytes // (rounds * part_bytes)))
+    shapes = [(n, v.shape, v.size) for n, v in model.p.items()]
+    seen = 0
+    for turn in range(rounds):
+        rate = RATE * (1 - 0.9 * turn / rounds)
+        sent = spark.sparkContext.broadcast(model)
+
+        def train(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            part, own, state, windows = None, None, None, 0
+            subwords = _subwords(path, pattern, kept)
+
+            def row():
+                if part is not None:
+                    weights = b"".join(own.p[n].astype(np.float32).tobytes() for n, _, _ in shapes)
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([windows], pa.int64()), pa.array([weights], pa.binary())], names=["part", "windows", "weights"])
+
+            for batch in chunks(batches):
+                of = batch.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+                texts = as_bytes(batch.column(0))
+                for a, b in zip(cuts, cuts[1:]):
+                    if of[a] != part:
+                        yield from row()
+                        part, own, windows = int(of[a]), copy.deepcopy(sent.value), 0
+                        state = own.moments()
+                    windows += own.train_all(*_packed(texts[a:b], subwords), state, rate)
+            yield from row()
+
+        def average(table: pa.Table) -> pa.Table:
+            n, weights = _mean(list(zip(*(table[c].to_pylist() for c in ("part", "windows", "weights")))))
+            return pa.table({"part": pa.array([min(table["part"].to_pylist())], pa.int64()), "windows": pa.array([n], pa.int64()), "weights": pa.array([weights], pa.binary())})
+
+        own = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(rounds)) == turn)
+        dealt = own.select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(n_parts)).alias("part"), F.xxhash64("doc_id", "text").alias("place"))
+        ways = max(1, min(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        trained = dealt.repartition(ways, "part").sortWithinPartitions("part", "place").drop("place").mapInArrow(train, "part bigint, windows bigint, weights binary")
+        if n_parts > FAN:
+            trained = trained.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(average, "part bigint, windows bigint, weights binary")
+        found = [tuple(r) for r in trained.collect()]
+        if found:
+            n, weights = _mean(found)
+            seen += n
+            flat, at = np.frombuffer(weights, np.float32), 0
+            for name, shape, size in shapes:
+                model.p[name] = flat[at : at + size].reshape(shape).copy()
+                at += size
+        sent.destroy()
+    return seen
+
+
+def fit_attention(docs: DataFrame, learn: Column, path: str, pattern: str, corpus: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> tuple[tuple[int, ...], Attention]:
+    """(subword ids kept as symbols, model), begun on a sample and learnt from all training documents, whose words are `corpus`."""
     rows = docs.where(learn)
     n = rows.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id"), 11) / F.lit(float(1 << 53))
     share = min(1.0, (train_docs + 6 * train_docs**0.5 + 10) / max(n, 1))
     picked = rows.withColumn("draw", draw).where(F.col("draw") < share).select("draw", F.coalesce("text", F.lit("")).alias("text")).toPandas()
     texts = picked.sort_values(["draw", "text"])["text"].tolist()[:train_docs]
-    first = Subwords(path, pattern)
-    split = [[w.decode() for w in words_of(t.encode())] for t in texts]
-    counts: Counter = Counter()
-    for w, c in Counter(w for t in split for w in t).items():
-        for i in first.ids(w):
-            counts[i] += c
+    counts = subword_counts(corpus, path, pattern)
     # by count, then by id, so that equal counts give equal models
     kept = tuple(i for i, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 1 - _BYTES])
     own = Subwords(path, pattern, list(kept))
-    packed = [b"".join(map(own.symbols, t)) + b"\0\0" for t in split]
-    symbols = np.frombuffer(b"".join(packed), np.uint16).astype(np.int64)
-    lengths = np.array([len(p) // 2 for p in packed], np.int64)
-    model = Attention(np.bincount(symbols, minlength=SYMBOLS), dim=20, inner=40, stride=26)
-    model.train(symbols, lengths, steps)
+    of_symbols = np.zeros(SYMBOLS)
+    of_symbols[0] = n
+    for i, c in sorted(counts.items()):
+        np.add.at(of_symbols, [own.symbol[i]] if i in own.symbol else [1 + b for b in own.raw[i]], c)
+    model = Attention(of_symbols, dim=24, inner=48, stride=24)
+    model.train(*_packed([t.encode() for t in texts], own), steps)
+    train_everywhere(rows, model, kept, path, pattern)
     return kept, model
 
 
@@ -179,7 +264,6 @@ def lm_scores(docs: DataFrame, learn: Column, path: str, pattern: str, block_byt
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_bytes, n_train = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(learn, 1))).first()
     n_blocks = max(1, -(-n_bytes // block_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // LEAST_BLOCK_BYTES)))
-    kept, model = fit_attention(docs, learn, path, pattern, train_docs, steps)
     parts = max(1, min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keyed = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("teaches"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"))
 
@@ -208,6 +292,7 @@ def lm_scores(docs: DataFrame, learn: Column, path: str, pattern: str, block_byt
     corpus = saved(corpus, "corpus-counts")
     n_words, n_distinct = corpus.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + n_train, n_distinct + (n_train > 0)
+    kept, model = fit_attention(docs, learn, path, pattern, corpus, train_docs, steps)
     answers = asked.drop("n").join(corpus, "word", "left").select("block", "word", F.coalesce("c", F.lit(0)).alias("c"))
     sent = spark.sparkContext.broadcast((kept, model))
 

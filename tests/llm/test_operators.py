@@ -176,6 +176,25 @@ def test_attention_gradients_and_single_scoring():
     assert model.log_probs(changed, lengths)[:10] == pytest.approx(whole[:10], abs=1e-5)
 
 
+def test_model_learns_from_all_training_documents(spark):
+    rng = random.Random(4)
+
+    def text(n):
+        # too long to occur twice, so the corpus counts do not know a held-out word
+        return " ".join("".join(rng.choice(("qzx", "vkj", "wqp")) for _ in range(25)) for _ in range(n))
+
+    def scores(n):
+        rows = [(1, text(60))] + [(10 + k, text(60)) for k in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = lm_scoring.lm_scores(df, F.col("doc_id") >= 10, public.path("byte_bpe_50k.tiktoken"), public.PATTERN, train_docs=1, steps=1)
+        return out.where("doc_id = 1").first()
+
+    # one document and one step begin the model in both cases
+    few, many = scores(1), scores(400)
+    assert few["n_known"] == many["n_known"] == 1
+    assert many["score"] > 0.8 * few["score"]
+
+
 def test_scores_of_nothing(none):
     assert _scores(none).count() == 0
 

@@ -129,6 +129,7 @@ ORACLE_SQL = {
     "vocab_stats": f"WITH {TOKS} SELECT count(DISTINCT token) AS n_tokens, count(DISTINCT token) FILTER (NOT regexp_full_match(token, '[0-9]+')) AS n_not_numeric FROM occ",
     "vocab_ceiling": f"WITH {TOKS}, p(probe) AS (VALUES ('a'), ('heeb'), ('thz'), ('zzzzzz')) SELECT probe, (SELECT min(token) FROM occ WHERE token >= probe) AS token FROM p",
     "doc_successor": f"WITH {TOKS}, d AS (SELECT DISTINCT token, doc_id FROM occ WHERE token IN ('er', 'the', 'heed')) SELECT token, doc_id, lead(doc_id) OVER (PARTITION BY token ORDER BY doc_id) AS next_doc FROM d",
+    "doc_successor_all": f"WITH {TOKS}, d AS (SELECT DISTINCT token, doc_id FROM occ) SELECT token, doc_id, lead(doc_id) OVER (PARTITION BY token ORDER BY doc_id) AS next_doc FROM d",
     "term_postings": f"{BASE}, {POSTS} SELECT doc_id, url, round(frequency, 9) AS frequency, n FROM posts WHERE token = 'heed'",
     "duplicate_groups": f"{BASE}, {REPS} SELECT content_hash, n_docs, rep_url FROM groups",
     "alias_map": f"{BASE}, {REPS} SELECT url, rep_url FROM aliases",
@@ -137,6 +138,7 @@ ORACLE_SQL = {
     "df_after_dedup": f"{BASE}, {REPS} SELECT token, count(DISTINCT o.doc_id) AS df FROM occ o JOIN kept k ON o.doc_id = k.doc_id GROUP BY token",
     "url_depth": f"SELECT page_id, {PARTS} AS parts, round(5.0::DOUBLE / {PARTS}, 6) AS depth_score FROM pages",
     "tag_scores": f"WITH {PAGE_OCC}, occ AS (SELECT page_id AS doc_id, pos, tag, token FROM pocc WHERE token IN ('en', 'er', 'de')), {TAGGED} SELECT token, doc_id AS page_id, round(tag, 6) AS tag_score FROM tagged",
+    "tag_scores_all": f"WITH {PAGE_OCC}, occ AS (SELECT page_id AS doc_id, pos, tag, token FROM pocc), {TAGGED} SELECT token, doc_id AS page_id, round(tag, 6) AS tag_score FROM tagged",
     "idf": f"WITH {TOKS}, {DFS} SELECT token, round(log10(({N_DOCS})::DOUBLE / df), 6) AS idf FROM dfs",
     "tfidf": f"{BASE}, {POSTS}, {DFS} SELECT token, doc_id, round(50.0::DOUBLE * frequency * log10(({N_DOCS})::DOUBLE / df), 6) AS tfidf FROM posts JOIN dfs USING (token)",
     "query_prepare": _prepared_rows(),

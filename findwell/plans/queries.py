@@ -40,7 +40,7 @@ def _posts(spark: SparkSession, sf: str, terms: list[str] | None = None) -> Data
     tokens = doc_tokens(spark, sf)
     occ = ix.occurrences(tokens)
     if terms is not None:
-        occ = occ.where(F.col("token").isin(terms))
+        occ = occ.where(F.col("token").isin(list(terms)))
     return ix.postings(occ, ix.doc_table(tokens))
 
 
@@ -87,7 +87,7 @@ def postings(spark, sf):
 
 
 def postings_json(spark, sf):
-    p = _posts(spark, sf, ["er", "heed"])
+    p = _posts(spark, sf)
     return p.select("token", F.to_json(F.struct("doc_id", "url", "frequency", "tags", "position_v")).alias("json"))
 
 
@@ -110,6 +110,11 @@ def doc_successor(spark, sf):
     return ix.doc_successor(occ.select("token", "doc_id").distinct())
 
 
+def doc_successor_all(spark, sf):
+    """doc_successor of every token."""
+    return ix.doc_successor(ix.occurrences(doc_tokens(spark, sf)).select("token", "doc_id").distinct())
+
+
 def term_postings(spark, sf):
     p = _posts(spark, sf, ["heed"])
     return p.select("doc_id", "url", F.round("frequency", 9).alias("frequency"), F.size("position_v").cast("bigint").alias("n"))
@@ -147,16 +152,24 @@ def url_depth(spark, sf):
     return pages.select("page_id", parts.alias("parts"), F.round(F.lit(CONFIG.depth_weight) / parts, 6).alias("depth_score"))
 
 
-def _page_posts(spark, sf, terms: list[str]) -> DataFrame:
+def _page_posts(spark, sf, terms: list[str] | None = None) -> DataFrame:
     tokens = page_tokens(spark, sf)
-    return ix.postings(ix.occurrences(tokens).where(F.col("token").isin(terms)), ix.doc_table(tokens))
+    occ = ix.occurrences(tokens)
+    if terms is not None:
+        occ = occ.where(F.col("token").isin(list(terms)))
+    return ix.postings(occ, ix.doc_table(tokens))
 
 
-def tag_scores(spark, sf):
-    p = _page_posts(spark, sf, ["en", "er", "de"])
+def tag_scores(spark, sf, terms=("en", "er", "de")):
+    p = _page_posts(spark, sf, terms)
     return p.select("token", F.col("doc_id").alias("page_id"), F.round(tag_score(F.col("tags"), CONFIG.tag_weights, CONFIG.tag_weight), 6).alias("tag_score"))
 
 
+def tag_scores_all(spark, sf):
+    """tag_scores of every token."""
+    return tag_scores(spark, sf, None)
+
+
 def idf(spark, sf):
     n = _docs(spark, sf).count()
     return vocab_df(spark, sf).select("token", F.round(F.log10(F.lit(float(n)) / F.col("df")), 6).alias("idf"))

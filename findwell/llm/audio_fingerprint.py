@@ -136,8 +136,8 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = VOTES, overlap: in
     own = frames.join(asked, "class_id", "left_semi").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), "code")
     # equal integers in a row of one recording vote together
     voted = own.join(frames, "code").where("query_class <> class_id").groupBy("query_class", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("n_votes"))
-    best = Window.partitionBy("query_class", "class_id").orderBy(F.col("n_votes").desc(), F.abs("offset"), "offset")
-    found = voted.where(F.col("n_votes") >= votes).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    # every offset with enough votes is tested; of those that pass, a pair keeps the one with most votes
+    found = voted.where(F.col("n_votes") >= votes)
     a = classes.select(F.col("class_id").alias("query_class"), F.col("prints").alias("a"))
     b = classes.select("class_id", F.col("prints").alias("b"))
     found = found.join(a, "query_class").join(b, "class_id")
@@ -147,7 +147,9 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = VOTES, overlap: in
     pairs = F.arrays_zip(F.slice("a", first + 1, F.col("n_frames")).alias("x"), F.slice("b", second + 1, F.col("n_frames")).alias("y"))
     wrong = F.aggregate(pairs, F.lit(0), lambda n, p: n + F.bit_count(p["x"].bitwiseXOR(p["y"])))
     found = found.withColumn("bit_error", wrong / (F.col("n_frames") * 32.0)).where(F.col("bit_error") <= bit_error)
-    return members, found.select("query_class", "class_id", "offset", "n_votes", "n_frames", "bit_error")
+    best = Window.partitionBy("query_class", "class_id").orderBy(F.col("n_votes").desc(), F.abs("offset"), "offset")
+    found = found.select("query_class", "class_id", "offset", "n_votes", "n_frames", "bit_error").withColumn("nth", F.row_number().over(best))
+    return members, found.where("nth = 1").drop("nth")
 
 
 def melody(values: np.ndarray, note: int = HOP) -> bytes:

@@ -266,6 +266,29 @@ def test_alignment_of_recordings(spark):
     assert found == {(0, 1): -20, (0, 6): 0, (0, 20): -5, (20, 0): 5, (20, 1): -15, (20, 6): 5}
 
 
+def test_alignment_by_brute_force_over_all_offsets(spark):
+    rng = np.random.default_rng(8)
+    tune = rng.integers(-(1 << 31), 1 << 31, 40)
+    noisy = np.where(np.arange(40) % 4 == 0, tune, tune ^ 1)
+    # equal silence at one's end and the other's start has most votes and too few frames
+    rows = [(0, [7] * 15 + tune.tolist()), (1, noisy.tolist() + [7] * 15), (2, tune[10:].tolist()), (3, rng.integers(-(1 << 31), 1 << 31, 50).tolist() + [7] * 4)]
+    _, matches = audio_fingerprint.align(*[spark.createDataFrame(rows, "id long, prints array<int>")] * 2)
+    want = set()
+    for i, a in rows:
+        for j, b in rows:
+            passed = []
+            for offset in range(-len(a), len(b)) if i != j else ():
+                pairs = [(x, b[k + offset]) for k, x in enumerate(a) if 0 <= k + offset < len(b)]
+                n = sum(x == y for x, y in pairs)
+                wrong = sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in pairs)
+                if n >= audio_fingerprint.VOTES and len(pairs) >= audio_fingerprint.OVERLAP and wrong / (32 * len(pairs)) <= audio_fingerprint.BIT_ERROR:
+                    passed.append((-n, abs(offset), offset, len(pairs)))
+            if passed:
+                want.add((i, j, min(passed)[2], -min(passed)[0], min(passed)[3]))
+    assert (0, 1, -15, 10, 40) in want
+    assert {tuple(r)[:5] for r in matches.collect()} == want
+
+
 def test_integral_image_equals_sums():
     picture = np.random.default_rng(0).random((20, 12))
     codes = audio_fingerprint.packed(picture)

@@ -21,7 +21,5 @@ MODULES = {
 QUERIES = {name: getattr(import_module(f"findwell.llm.{module}"), name) for name, module in MODULES.items()}
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_audio_fingerprints": "audio_fingerprint",
-    "op6_suffix_array_dedup": "suffix_dedup",
     "op7_source_mixing": import_module("findwell.llm.mixing").ORACLE_SQL,
 }

@@ -28,3 +28,11 @@ def test_entry_module_imports(spark, small):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.queries()["search_full_pages"](spark, small).columns == ["rank", "page_id", "url", "score"]
+
+
+def test_every_registered_oracle_is_sql(small):
+    import __spark_entry__ as e
+
+    con = connect(small)
+    for sql in e.oracle_sql().values():
+        con.sql(f"EXPLAIN {sql}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -56,3 +57,10 @@ def rolling(chars: np.ndarray, longest: int) -> list[np.ndarray]:
         h[k - 1 :] += (chars[: len(chars) - k + 1] + np.uint64(1)) * np.uint64(power)
         out.append(h)
     return out
+
+
+def hashed(chars: np.ndarray, longest: int, size: int = 1 << 18) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(a, hashes) of the places from a on, `size` at a time: hashes[k][i] of the k characters that end at a + i."""
+    for a in range(0, len(chars), size):
+        lead = min(a, longest)
+        yield a, [h[lead:] for h in rolling(chars[a - lead : a + size], longest)]

@@ -39,20 +39,35 @@ def lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
     return at[:-1], float(at[-1])
 
 
-def ridge_sparse(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int], y: np.ndarray, penalty: float, weight: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept of least weighted mean log loss + penalty / 2 * |w|^2 over sparse entries, by accelerated gradient steps."""
-    n, m = shape
+def ridge_sparse(begins: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray, steps: int = 300, most: int = 1 << 20) -> tuple[np.ndarray, float]:
+    """Weights and intercept of least weighted mean log loss + penalty / 2 * |w|^2, by accelerated gradient steps.
+
+    Row k has the columns cols[begins[k] : begins[k + 1]], each with its column's
+    scale as value. About `most` entries are worked on at a time.
+    """
+    n, m = len(begins) - 1, len(scale)
     at = np.zeros(m + 1)
     total = weight.sum()
     if not n or total <= 0:
         return at[:-1], 0.0
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begins, begins[cuts[-1]] + most, side="right")) - 1))
+    sizes = np.diff(begins)
 
     def times(w):
-        return np.bincount(rows, weights=values * w[cols], minlength=n) + w[m]
+        own, out = scale * w[:m], np.full(n, w[m])
+        for a, b in zip(cuts, cuts[1:]):
+            some = a + np.flatnonzero(sizes[a:b])
+            if len(some):
+                out[some] += np.add.reduceat(own[cols[begins[a] : begins[b]]], begins[some] - begins[a])
+        return out
 
     def back(r):
-        g = np.bincount(cols, weights=values * r[rows], minlength=m)
-        return np.r_[g, r.sum()]
+        g = np.zeros(m)
+        for a, b in zip(cuts, cuts[1:]):
+            g += np.bincount(cols[begins[a] : begins[b]], weights=np.repeat(r[a:b], sizes[a:b]), minlength=m)
+        return np.r_[g * scale, r.sum()]
 
     v = np.ones(m + 1)
     top = 1.0

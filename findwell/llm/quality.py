@@ -6,8 +6,8 @@ a labelled sample; every path from a root to a node is a conjunctive rule. A
 lasso logistic regression weighs the rules, most weights come out as zero, and the
 rules left are compiled into one Spark expression over the statistics.
 
-It learns from `per_class` whole labelled texts of each class at most, picked by a
-hash of the id; an intercept shift restores the classes' shares among all labels.
+It learns from `per_class` whole labelled texts of each class at most, picked by
+hashes of id and text; an intercept shift restores the classes' shares among all labels.
 
 Defined results: null and empty texts have all statistics zero and are scored by
 the rules that hold for them. Without labels the score is 0.5, with one class its
@@ -193,11 +193,13 @@ class RuleEnsemble:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = PER_CLASS) -> RuleEnsemble:
     sample = labelled_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, per_class)
-    texts = [t.encode() for t in sample["text"]]
-    off = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))].astype(np.int64)
-    x = statistics(np.frombuffer(b"".join(texts), np.uint8), off, texts)
-    shares = {int(y): int(n) for y, n in sample.groupby("y")["of_class"].first().items()}
-    return RuleEnsemble(x, sample["y"].to_numpy(), shares)
+    x, labels_of = [np.empty((0, len(STATISTICS)))], [np.empty(0, np.int64)]
+    for batch, y in sample.batches():
+        texts = [t.encode() for t in batch]
+        off = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))].astype(np.int64)
+        x.append(statistics(np.frombuffer(b"".join(texts), np.uint8), off, texts))
+        labels_of.append(y)
+    return RuleEnsemble(np.concatenate(x), np.concatenate(labels_of), sample.counts)
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:

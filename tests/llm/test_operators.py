@@ -420,6 +420,76 @@ def test_classifiers_on_odd_rows(spark, odd, none, run):
     assert all(0 <= r["score"] <= 1 for r in run(odd, mixed).collect())
 
 
+class _Texts:
+    """A sample at hand."""
+
+    def __init__(self, rows):
+        self.rows, self.counts = rows, {y: sum(r[1] == y for r in rows) for y in (0, 1)}
+
+    def batches(self):
+        for a in range(0, len(self.rows), 7):
+            yield [t for t, _ in self.rows[a : a + 7]], np.array([y for _, y in self.rows[a : a + 7]])
+
+
+def test_toxicity_by_brute_force():
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice(("bad", "Worse!", "évil") if y and rng.random() < 0.5 else ("fine", "12", "good", "ok-ay")) for _ in range(rng.randrange(1, 30))), y) for y in (0, 1) for _ in range(40)]
+    model = toxicity.NaiveBayesLinear(_Texts(rows))
+
+    def runs(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        chars = " " * 8 + "".join(w + " " for w in words)
+        return {chars[e - k : e] for k in toxicity.SIZES for e in range(9, len(chars) + 1)}
+
+    def bucket(run):
+        h = sum((ord(c) + 1) * 0x9E3779B97F4A7C15 ** (j + 1) for j, c in enumerate(reversed(run))) % 2**64
+        return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - toxicity.BUCKET_BITS)
+
+    for text, _ in rows:
+        want = model.intercept + sum(float(model.weights[b]) for b in {bucket(r) for r in runs(text)})
+        assert model.score([text])[0] == pytest.approx(1 / (1 + math.exp(-want)), abs=1e-6)
+    y = np.array([y for _, y in rows])
+    assert _auc(y, model.score([t for t, _ in rows])) > 0.95
+    # at the least loss no direction lowers it
+    used = np.flatnonzero(model.weights)[:5]
+
+    def loss():
+        p = model.score([t for t, _ in rows])
+        return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    before = loss()
+    for b in used:
+        model.weights[b] += 0.5
+        assert loss() > before - 0.05
+        model.weights[b] -= 0.5
+
+
+def test_hashes_do_not_depend_on_pieces():
+    from findwell.llm._chars import hashed, rolling, stream
+
+    chars, _, _ = stream(["some words, and more " * 9, "", "x"])
+    whole = rolling(chars, 8)
+    for size in (3, 17, 1000):
+        for a, part in hashed(chars, 8, size):
+            for k in range(1, 9):
+                own = np.arange(a, a + len(part[k]))
+                ok = own >= 8
+                assert (part[k][ok] == whole[k][own[ok]]).all()
+
+
+def test_sample_is_bounded(spark):
+    from findwell.llm._labelled import labelled_sample
+
+    # one id has many texts, one row many equals
+    rows = [(1, f"text {k}") for k in range(3000)] + [(2, "same")] * 3000 + [(10 + k, f"other {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 2), 0) for d in {d for d, _ in rows}], "doc_id long, quality int, toxic int")
+    sample = labelled_sample(docs, labels, "quality", F.lit(True), 20)
+    got = [(t, int(v)) for texts, y in sample.batches(100) for t, v in zip(texts, y)]
+    assert sample.rows.count() < 200 and Counter(v for _, v in got)[0] == 20 and Counter(v for _, v in got)[1] == 20
+    assert len(set(got)) == len(got) and got == [(t, int(v)) for texts, y in sample.batches(10**9) for t, v in zip(texts, y)]
+
+
 def test_rules_as_columns_equal_the_model(spark, small, docs):
     model = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
     rows = quality.with_statistics(docs).withColumn("score", model.column()).toPandas()

@@ -54,7 +54,7 @@ def rolling(chars: np.ndarray, longest: int) -> list[np.ndarray]:
     for k in range(1, longest + 1):
         power = power * _BASE % (1 << 64)
         h = out[-1].copy()
-        h[k - 1 :] += (chars[: len(chars) - k + 1] + np.uint64(1)) * np.uint64(power)
+        h[k - 1 :] += (chars[: max(0, len(chars) - k + 1)] + np.uint64(1)) * np.uint64(power)
         out.append(h)
     return out
 

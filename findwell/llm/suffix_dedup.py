@@ -13,13 +13,18 @@ Consecutive strings with one anchor form a stretch. A stretch whose anchor occur
 nowhere else holds no repeated string; stretches with equal bytes are repeated as
 a whole, and one of them stands for all; only the different stretches of an anchor
 are sent, by the anchor, to be sorted. Anchors with many different stretches are
-not sorted: their stretches are cut into parts by the distance from the anchor, a
-part is judged by the bytes all its strings share, and the strings of parts that
-occur again are counted one by one, by 128 bits of hashes. No task holds an anchor.
+split first: their stretches are cut into parts by the distance from the anchor, and
+the parts that share all bytes which their strings have in common are sorted
+together. Where such parts are still too many, they are cut down to single strings,
+which are equal or not, by 128 bits of hashes. No task holds an anchor.
+
+How rows are dealt out follows a sample of rows: anchors that are frequent there are
+spread by content, and rows of a content that is frequent there, so repeated for
+certain, are dealt anywhere and returned whole, while one of them stands for all.
 
 Defined results: null texts are empty; texts shorter than `length` bytes lose
-nothing; a repeated row's strings are repeated strings. Ids may be null or occur
-with several texts. Other columns are ignored.
+nothing; a repeated row's strings are repeated strings, and only one of its rows is
+searched. Ids may be null or occur with several texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +49,10 @@ SORT_BYTES = 1_200_000
 SPLIT_STRETCHES = 2_000
 #: Strings of a part, at most.
 PART = 16
-#: One text of so many is sampled for hot anchors; rows there that make an anchor hot; parts of a hot anchor.
-SAMPLE, HOT_IN_SAMPLE, SPREAD = 64, 100, 64
+#: One row of so many is sampled; stretches there that make an anchor hot, or a content; parts of a hot anchor.
+SAMPLE, HOT_IN_SAMPLE, HOT_CONTENT, SPREAD = 64, 100, 16, 64
+#: Rows of a table up to which it is sent to every task (some 30 bytes each).
+BROADCAST_ROWS = 100_000
 _PLACE_BITS = 28
 #: Values that three of fit in a key; values and lengths that two of fit.
 _NARROW, _WIDE = 1 << 21, 1 << 31
@@ -206,7 +214,8 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
     content go into the next step again, so both may return more than once.
     A repeated stretch returns each of its places and, if its anchor has other
     stretches, one place to be sorted. Rows of hot anchors are spread by their
-    content; such anchors are taken to have other stretches elsewhere.
+    content; such anchors are taken to have other stretches elsewhere. Rows of a
+    content known to be repeated return at once.
     """
     carried: pa.Table | None = None
 
@@ -234,6 +243,12 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
+        known = batch.column(batch.schema.get_field_index("known"))
+        batch = batch.drop_columns(["known"])
+        if known.true_count:
+            own = batch.filter(known).drop_columns(["hot"])
+            yield own.append_column("whole", pa.array(np.ones(own.num_rows, bool)))
+            batch = batch.filter(pa.compute.invert(known))
         if batch.num_rows:
             held.append(batch)
             count += batch.num_rows
@@ -249,7 +264,7 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
 
 
 def _cut(length: int):
-    """Bytes of the stretches wanted of each text, by their anchors."""
+    """Bytes of the stretches wanted of each text, by their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):
@@ -258,7 +273,7 @@ def _cut(length: int):
             for d, text, wanted in zip(docs, as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 for w in wanted:
                     f, m = w["first"], w["more"]
-                    keys.append(w["anchor"]), doc.append(d), first.append(f), more.append(m), data.append(text[f : f + m + length])
+                    keys.append(w["key"]), doc.append(d), first.append(f), more.append(m), data.append(text[f : f + m + length])
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(more, pa.int32()), pa.array(data, pa.binary())], names=["key", "doc", "first", "more", "bytes"])
 
@@ -333,23 +348,31 @@ def _find_strings(length: int):
     return run
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A saved table, sent to every task if its size allows."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _occurring_again(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Rows whose keys other rows have too; counts start before the shuffle, so that no key is hot."""
-    again = saved(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), label)
-    return df.join(F.broadcast(again) if again.count() <= 100_000 else again, keys, "left_semi")
+    """Rows whose keys other rows have too, with the number of such rows; counts start before the shuffle, so that no key is hot."""
+    again = saved(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), label)
+    return df.join(_sent(again), keys)
 
 
-def _crowded_spans(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, a, b) of the strings in stretches `opened` (doc, first, more) that occur in others of them."""
+def _with_wanted(docs: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
+    """(doc, text, wanted) of the texts that have `rows`."""
+    return docs.join(rows.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "doc").select("doc", "text", "wanted")
 
-    def with_wanted(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("doc").agg(F.collect_list(F.struct("first", "more")).alias("wanted"))
-        return docs.join(wanted, "doc").select("doc", "text", "wanted")
 
-    found = saved(with_wanted(opened).mapInArrow(_find_parts(length, gram), "key bigint, doc bigint, first int, more int"), "parts")
-    # a repeated row's parts are wanted once
-    again = _occurring_again(found, ["key"], "repeated-parts").select("doc", "first", "more").distinct()
-    strings = saved(with_wanted(again).mapInArrow(_find_strings(length), "key bigint, other bigint, doc bigint, first int"), "strings")
+def _repeated_parts(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, n, doc, first, more) of the parts of stretches `opened` (doc, first, more) whose shared bytes occur n times."""
+    found = saved(_with_wanted(docs, opened, "first", "more").mapInArrow(_find_parts(length, gram), "key bigint, doc bigint, first int, more int"), "parts")
+    return saved(_occurring_again(found, ["key"], "repeated-parts"), "parts-again")
+
+
+def _repeated_strings(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """(doc, a, b) of the strings of `parts` (doc, first, more) that occur in others of them."""
+    strings = saved(_with_wanted(docs, parts, "first", "more").mapInArrow(_find_strings(length), "key bigint, other bigint, doc bigint, first int"), "strings")
     return _occurring_again(strings, ["key", "other"], "repeated-strings").select("doc", F.col("first").alias("a"), (F.col("first") + length).alias("b"))
 
 
@@ -398,28 +421,33 @@ def _sort(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT_STRETCHES) -> DataFrame:
-    """(doc, spans) of rows (doc, text): places [a, b) that repeated strings cover, unmerged; rows without are left out."""
+    """(doc, a, b) of different rows (doc, text): places [a, b) that repeated strings cover, unmerged."""
     bounded_batches(docs.sparkSession)
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(_find_stretches(length, gram), _STRETCH)
-    # anchors that are frequent in a sample of texts are spread; which ones only sets how rows are dealt
-    sampled = docs.where((F.octet_length("text") >= length) & (F.pmod("doc", F.lit(SAMPLE)) == 0)).mapInArrow(_find_stretches(length, gram), _STRETCH)
-    hot = saved(sampled.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    found = found.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    spread = F.when(F.col("hot"), F.pmod("content", F.lit(SPREAD))).otherwise(F.lit(0))
-    dealt = found.select("anchor", "content", "doc", "first", "more", "hot", spread.alias("spread")).repartition("anchor", "spread").sortWithinPartitions("anchor", "content")
+    long = docs.where(F.octet_length("text") >= length)
+    found = long.mapInArrow(_find_stretches(length, gram), _STRETCH)
+    # the sample only sets how rows are dealt
+    picked = long.where(F.pmod(F.xxhash64("doc", F.monotonically_increasing_id()), F.lit(SAMPLE)) == 0)
+    seen = picked.mapInArrow(_find_stretches(length, gram), _STRETCH).groupBy("anchor", "content").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "first", "more")))
+    seen = saved(seen, "sampled")
+    hot = saved(seen.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    known = saved(seen.where(F.col("n") >= HOT_CONTENT).drop("n"), "hot-contents")
+    found = found.join(_sent(known.select("content", F.lit(True).alias("known"))), "content", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    found = found.unionByName(known.withColumn("known", F.lit(False)))
+    found = found.join(_sent(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spread = F.when(F.col("known"), F.xxhash64("doc", "first")).when(F.col("hot"), F.pmod("content", F.lit(SPREAD))).otherwise(F.lit(0))
+    dealt = found.select("anchor", "content", "doc", "first", "more", "hot", "known", spread.alias("spread")).repartition("anchor", "spread").sortWithinPartitions("anchor", "content")
     sieved = saved(dealt.drop("spread").mapInArrow(_sieve, _STRETCH + ", whole boolean"), "stretches")
     whole = sieved.where("whole").select("doc", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
-    opened = sieved.where("not whole").select("anchor", "doc", "first", "more").distinct()
-    crowded = saved(opened.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > split).select("anchor", F.lit(True).alias("split")), "crowded")
-    n_crowded = crowded.count()
-    opened = opened.join(F.broadcast(crowded) if n_crowded <= 100_000 else crowded, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    wanted = opened.where(~F.col("split")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "more")).alias("wanted"))
-    pieces = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut(length), "key bigint, doc bigint, first int, more int, bytes binary")
+    opened = sieved.where("not whole").select(F.col("anchor").alias("key"), "doc", "first", "more").distinct()
+    crowded = saved(opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("key"), "crowded")
+    spans = whole
+    if crowded.count():
+        parts = _repeated_parts(docs, opened.join(_sent(crowded), "key", "left_semi"), length, gram)
+        opened = opened.join(_sent(crowded), "key", "left_anti").unionByName(parts.where(F.col("n") <= split).drop("n"))
+        spans = spans.unionByName(_repeated_strings(docs, parts.where(F.col("n") > split), length))
+    pieces = _with_wanted(docs, opened, "key", "first", "more").mapInArrow(_cut(length), "key bigint, doc bigint, first int, more int, bytes binary")
     sorted_out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "doc bigint, a int, b int")
-    spans = saved(sorted_out, "sorted-spans").unionByName(whole)
-    if n_crowded:
-        spans = spans.unionByName(_crowded_spans(docs, opened.where("split"), length, gram))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return saved(sorted_out, "sorted-spans").unionByName(spans)
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -434,7 +462,17 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, length: int, gram: int, split: int, columns: list[str]) -> DataFrame:
     keyed = docs.withColumn("dedup_doc", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "text"))
-    spans = repeated_spans(keyed.select(F.col("dedup_doc").alias("doc"), "text"), length, gram, split)
+    texts = keyed.select(F.col("dedup_doc").alias("doc"), "text")
+    again = saved(texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated-rows")
+    if again.count():
+        # of equal rows one is searched, and all of each is repeated
+        one = saved(texts.join(_sent(again), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "one-of-equals")
+        spans = repeated_spans(texts.join(_sent(again), "doc", "left_anti").unionByName(one), length, gram, split)
+        size = F.octet_length("text")
+        spans = spans.unionByName(one.where(size >= length).select("doc", F.lit(0).alias("a"), size.alias("b")))
+    else:
+        spans = repeated_spans(texts, length, gram, split)
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return keyed.join(spans.withColumnRenamed("doc", "dedup_doc"), "dedup_doc", "left").select(*columns, F.col("spans").alias("dedup_spans"))
 
 

@@ -322,7 +322,7 @@ def _cut(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length, gram, split", [(200, 64, 2000), (40, 10, 1), (40, 12, 2000)])
+@pytest.mark.parametrize("length, gram, split", [(200, 64, 2000), (40, 10, 1), (40, 10, 3), (40, 12, 2000)])
 def test_repeats_by_brute_force(spark, length, gram, split):
     rng = random.Random(3)
     base = "".join(rng.choice("abé ") for _ in range(900))
@@ -367,6 +367,21 @@ def test_one_passage_in_many_texts(spark):
     assert as_rows(got.drop("removed")) == _cut(rows, 200)
 
 
+def test_equal_rows_and_frequent_contents(spark):
+    rng = random.Random(6)
+
+    def word(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    same, passage = word(1500), word(700)
+    rows = [(7, same)] * 5000 + [(None, same[:900])] * 2000 + [(10 + k, word(rng.randrange(300)) + passage + word(rng.randrange(300))) for k in range(5000)] + [(6000, "x" + same[200:1000] + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = suffix_dedup.removal(df, split=500).drop("removed")
+    few = [r for r in rows if r[0] is None or r[0] < 10][4990:5010] + rows[7000:]
+    assert sorted(got.distinct().collect(), key=repr) == sorted({tuple(r) for r in _cut(few, 200)}, key=repr)
+    assert got.count() == len(rows)
+
+
 def test_cut_texts_stay_valid(spark, odd, none):
     twice = "é" * 150
     df = spark.createDataFrame([(1, "a" + twice, "x"), (2, "bb" + twice + "c", "y"), (3, None, "z")], "doc_id long, text string, dedup_note string")

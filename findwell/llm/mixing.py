@@ -2,23 +2,25 @@
 
 Each source gets a mean repetition rate, its target share of the rows over its
 present share. A document is repeated as often as a Poisson variable of that mean
-says, which inverts the distribution at a number hashed from seed and id, so the
-same document gets the same copies on every run. Copies are exploded and dealt
-out over all partitions by a hash of seed, id and copy, and sorted by it inside.
+says, which inverts the distribution at a number hashed from seed and row, so the
+same document gets the same copies on every run. A row is told from others by the
+md5 of all its columns and, among equal rows, by a number. Copies are exploded and
+dealt out over all partitions by a hash of seed, row and copy, and sorted by it
+inside.
 
 A rate over `PART_RATE` is the sum of equal parts with a number each, so the
 table of a part's distribution stays short at any rate; its last entry is beyond
 what 52 random bits can reach.
 
-Defined results: a null source is a source of its own; null ids hash as empty
-text; repeated rows are repeated alike; null and empty texts are rows like any
-other. A source without a weight gets none of the mix. A column of the input
-named `copy` is replaced. An empty table gives an empty result.
+Defined results: a null source is a source of its own; rows with null or repeated
+ids, and equal rows, are each decided on their own; null and empty texts are rows
+like any other. A source without a weight gets none of the mix. A column of the
+input named `copy` is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findwell.session import saved
@@ -27,8 +29,12 @@ from findwell.session import saved
 PART_RATE, ENTRIES = 16.0, 120
 #: Sources up to which the table of rates is sent to every task (about 1 KB each).
 BROADCAST_SOURCES = 20_000
-#: Rows of a source are dealt over so many keys where rates are joined by a shuffle.
+#: Rows of a source are dealt over so many keys where rates are joined by a shuffle; equal rows where they are numbered.
 SALTS = 64
+#: Kinds of repeated rows up to which their keys are sent to every task (about 50 bytes each).
+BROADCAST_REPEATED = 100_000
+#: Stands for null where columns are hashed.
+_NULL = "\\N"
 
 
 def uniform(*parts: Column) -> Column:
@@ -70,26 +76,55 @@ def _with_table(rates: DataFrame) -> DataFrame:
     return rows.select(F.col("source").alias("mix_source"), F.col("parts").alias("mix_parts"), table.alias("mix_table"))
 
 
-def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+def row_key(columns: list[str]) -> Column:
+    """md5 of all columns as text, joined by a separator; a column that is text is hashed first."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(F.md5(F.col(c).cast("string")), F.lit(_NULL)) for c in columns)))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds mix_row (equal for equal rows) and mix_nth (1, 2, ... among these).
+
+    Equal rows are found by a count of their keys alone. They are dealt out by key
+    and salt and numbered there, beginning after what the salts before hold.
+    """
+    keyed = docs.withColumn("mix_row", row_key(sorted(docs.columns)))
+    again = saved(keyed.groupBy("mix_row").agg(F.count("*").alias("n")).where("n > 1").select("mix_row"), "repeated-rows")
+    n_again = again.count()
+    one = F.lit(1).cast("bigint").alias("mix_nth")
+    if not n_again:
+        return keyed.select("*", one)
+    again = F.broadcast(again) if n_again <= BROADCAST_REPEATED else again
+    many = saved(keyed.join(again, "mix_row", "left_semi").withColumn("mix_own_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "equal-rows")
+    held = many.groupBy("mix_row", "mix_own_salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("mix_row").orderBy("mix_own_salt").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select("mix_row", "mix_own_salt", F.coalesce(before, F.lit(0)).alias("mix_before"))
+    nth = F.row_number().over(Window.partitionBy("mix_row", "mix_own_salt").orderBy("mix_row"))
+    numbered = many.withColumn("mix_nth", nth).join(held, ["mix_row", "mix_own_salt"])
+    numbered = numbered.select(*keyed.columns, (F.col("mix_nth") + F.col("mix_before")).alias("mix_nth"))
+    return keyed.join(again, "mix_row", "left_anti").select(*keyed.columns, one).unionByName(numbered)
+
+
+def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, source_col: str = "source", broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The columns of `docs` and `copy` (1, 2, ...): each row as often as its source's rate says, in shuffled order."""
     docs = docs.drop("copy")
     columns = docs.columns
+    rows = _numbered(docs)
     table = saved(_with_table(rates), "rates")
     if table.count() <= broadcast_sources:
-        joined = docs.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("mix_source")))
+        joined = rows.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("mix_source")))
     else:
         # a hot source is spread over salts; each has the source's row
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = docs.withColumn("mix_own_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        own = rows.withColumn("mix_own_salt", F.pmod(F.xxhash64("mix_row", "mix_nth"), F.lit(SALTS)).cast("int"))
         joined = own.join(salted, F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_own_salt") == F.col("mix_salt")))
-    name, ident = F.lit(str(seed)), F.col(id_col)
+    name, row, nth = F.lit(str(seed)), F.col("mix_row"), F.col("mix_nth")
 
     # numbers first, one for each part, so that a table's entries compare with a value
-    numbers = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda part: uniform(name, ident, part))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("mix_parts")), lambda part: uniform(name, row, nth, part))
     copies = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda total, u: total + F.size(F.filter("mix_table", lambda p: p <= u)))
     counted = joined.withColumn("mix_copies", copies).where(F.col("mix_copies") > 0)
-    exploded = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies"))).alias("copy"))
-    key = F.xxhash64(name, F.coalesce(ident.cast("string"), F.lit("")), F.col("copy"))
+    exploded = counted.select(*columns, "mix_row", "mix_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies"))).alias("copy"))
+    key = F.xxhash64(name, row, nth, F.col("copy"))
     return exploded.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").select(*columns, "copy")
 
 
@@ -105,14 +140,19 @@ p AS (SELECT source, rate, greatest(ceil(rate / {PART_RATE}), 1)::INT AS parts F
 t AS (SELECT source, parts, k, exp(-(rate / parts) + k * ln(rate / parts) - lgamma(k + 1.0)) AS term FROM p, range(0, {ENTRIES}) AS g(k)),
 c AS (SELECT source, parts, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS upto FROM t),
 l AS (SELECT source, any_value(parts) AS parts, list(upto ORDER BY k) AS sums FROM c GROUP BY source),
+k AS (
+  SELECT *, md5(concat_ws('|', coalesce(md5(doc_id::VARCHAR), '\\N'), coalesce(md5(lang), '\\N'), coalesce(md5(n_chars::VARCHAR), '\\N'), coalesce(md5(source), '\\N'), coalesce(md5(text), '\\N'))) AS mix_row
+  FROM documents
+),
+d AS (SELECT *, row_number() OVER (PARTITION BY mix_row) AS nth FROM k),
 u AS (
   SELECT d.*, l.sums, q.part,
-    (('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || q.part::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS x
-  FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.parts + 1)) AS q(part)
+    (('0x' || substr(md5('7:' || mix_row || ':' || nth::VARCHAR || ':' || q.part::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS x
+  FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source, unnest(range(1, l.parts + 1)) AS q(part)
 ),
 m AS (
   SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(sums, lambda s: s <= x)))::BIGINT AS copies
-  FROM u GROUP BY doc_id, text, lang, source, n_chars
+  FROM u GROUP BY doc_id, text, lang, source, n_chars, mix_row, nth
 )
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1)) AS copy FROM m WHERE copies > 0
 """

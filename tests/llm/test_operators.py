@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,30 @@ def test_mix_rates(spark, odd, none):
     assert mixing.mix(odd, mixing.rates(odd)).columns == [*odd.columns, "copy"]
 
 
+def test_mix_decides_each_row(spark):
+    # null ids, one id for many texts, and equal rows
+    rows = [(None, f"t{k}", "a" if k % 4 == 0 else "b") for k in range(4000)] + [(5, f"u{k}", "c") for k in range(2000)] + [(6, "same", "d")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    rates = spark.createDataFrame([(s, 0.5) for s in "abcd"], "source string, rate double")
+    one, other = mixing.mix(docs, rates), mixing.mix(docs.repartition(7), rates, broadcast_sources=0)
+    counts = {r["source"]: r["count"] for r in one.groupBy("source").count().collect()}
+    for s, n in (("a", 1000), ("b", 3000), ("c", 2000), ("d", 4000)):
+        assert counts[s] == pytest.approx(n / 2, abs=5 * (n / 2) ** 0.5)
+    assert as_rows(one) == as_rows(other)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert mixing.mix(docs, rates).withColumn("p", F.spark_partition_id()).where("source = 'd'").select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_mix_of_equal_rows_equals_sql(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = docs.unionByName(docs.limit(50)).unionByName(docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string")))
+    pq.write_table(odd.toArrow(), f"{tmp_path}/documents.parquet")
+    assert rows_of_spark(mixing.op7_source_mixing(spark, str(tmp_path))) == rows_of_sql(connect(str(tmp_path)), ORACLE_SQL["op7_source_mixing"])
+
+
 # 8, 10 ------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 One block: embeddings, one attention head with a learnt bias for each distance,
 a feed-forward layer, residual connections, and a softmax in two steps (the class
-of a symbol, then the symbol in its class), all in single precision.
+of a symbol, then the symbol in its class), all in single precision. The first
+classes hold the symbols that begin a word, or end a text, and no others.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ SYMBOLS = WIDE * WIDE
 
 
 class Attention:
-    """The model. Symbol 0 begins and ends every text."""
+    """The model. Symbol 0 begins and ends every text; those of the first `openers` classes begin words."""
 
-    def __init__(self, counts: np.ndarray, dim: int = 16, inner: int = 32, window: int = 32, stride: int = 24, seed: int = 11):
+    def __init__(self, counts: np.ndarray, dim: int = 16, inner: int = 32, window: int = 32, stride: int = 24, seed: int = 11, openers: int = 1):
         rng = np.random.default_rng(seed)
-        self.window, self.stride = window, stride
+        self.window, self.stride, self.openers = window, stride, openers
 
         def random(*shape):
             return (rng.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else 1)).astype(np.float32)
@@ -81,9 +82,12 @@ class Attention:
         begin = k * self.stride
         return text, begin, np.where(k > 0, begin + self.window - self.stride, 0)
 
-    def log_probs(self, symbols: np.ndarray, lengths: np.ndarray, block: int = 192) -> np.ndarray:
-        """Natural log probability of every symbol of texts laid end to end, each scored once given what precedes it."""
-        p, out = self.p, np.zeros(len(symbols), np.float32)
+    def log_probs(self, symbols: np.ndarray, lengths: np.ndarray, block: int = 192) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probabilities at every symbol of texts laid end to end: of the symbol, and of one that begins a word.
+
+        Each place is scored once, given what precedes it.
+        """
+        p, out, opens = self.p, np.zeros(len(symbols), np.float32), np.zeros(len(symbols), np.float32)
         bias = np.where(self.future, np.float32(-1e9), p["near"][self.back])
         scaled = p["query"] * np.float32(1 / np.sqrt(p["query"].shape[1]))
         starts = np.cumsum(lengths) - lengths
@@ -112,6 +116,7 @@ class Attention:
             own = z[np.arange(len(z)), group]
             np.exp(z, out=z)
             total = z.sum(1)
+            opens[where] = np.log(z[:, : self.openers].sum(1) / total)
             order = np.argsort(group.astype(np.uint8), kind="stable")
             sizes = np.bincount(group, minlength=WIDE)
             z, n = h[order], 0
@@ -124,9 +129,8 @@ class Attention:
             own[order] += z_member[np.arange(len(z)), member[order]]
             np.exp(z_member, out=z_member)
             total[order] *= z_member.sum(1)
-            lp = own - np.log(total)
-            out[where] = lp
-        return out
+            out[where] = own - np.log(total)
+        return out, opens
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the wanted places of windows, and its gradients."""

@@ -20,19 +20,18 @@ input named `copy` is replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findwell.llm._rows import numbered
 from findwell.session import saved
 
 #: Largest rate of one Poisson variable, entries of its table.
 PART_RATE, ENTRIES = 16.0, 120
 #: Sources up to which the table of rates is sent to every task (about 1 KB each).
 BROADCAST_SOURCES = 20_000
-#: Rows of a source are dealt over so many keys where rates are joined by a shuffle; equal rows where they are numbered.
+#: Rows of a source are dealt over so many keys where rates are joined by a shuffle.
 SALTS = 64
-#: Kinds of repeated rows up to which their keys are sent to every task (about 50 bytes each).
-BROADCAST_REPEATED = 100_000
 #: Stands for null where columns are hashed.
 _NULL = "\\N"
 
@@ -81,34 +80,11 @@ def row_key(columns: list[str]) -> Column:
     return F.md5(F.concat_ws("|", *(F.coalesce(F.md5(F.col(c).cast("string")), F.lit(_NULL)) for c in columns)))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds mix_row (equal for equal rows) and mix_nth (1, 2, ... among these).
-
-    Equal rows are found by a count of their keys alone. They are dealt out by key
-    and salt and numbered there, beginning after what the salts before hold.
-    """
-    keyed = docs.withColumn("mix_row", row_key(sorted(docs.columns)))
-    again = saved(keyed.groupBy("mix_row").agg(F.count("*").alias("n")).where("n > 1").select("mix_row"), "repeated-rows")
-    n_again = again.count()
-    one = F.lit(1).cast("bigint").alias("mix_nth")
-    if not n_again:
-        return keyed.select("*", one)
-    again = F.broadcast(again) if n_again <= BROADCAST_REPEATED else again
-    many = saved(keyed.join(again, "mix_row", "left_semi").withColumn("mix_own_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "equal-rows")
-    held = many.groupBy("mix_row", "mix_own_salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("mix_row").orderBy("mix_own_salt").rowsBetween(Window.unboundedPreceding, -1))
-    held = held.select("mix_row", "mix_own_salt", F.coalesce(before, F.lit(0)).alias("mix_before"))
-    nth = F.row_number().over(Window.partitionBy("mix_row", "mix_own_salt").orderBy("mix_row"))
-    numbered = many.withColumn("mix_nth", nth).join(held, ["mix_row", "mix_own_salt"])
-    numbered = numbered.select(*keyed.columns, (F.col("mix_nth") + F.col("mix_before")).alias("mix_nth"))
-    return keyed.join(again, "mix_row", "left_anti").select(*keyed.columns, one).unionByName(numbered)
-
-
 def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, source_col: str = "source", broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The columns of `docs` and `copy` (1, 2, ...): each row as often as its source's rate says, in shuffled order."""
     docs = docs.drop("copy")
     columns = docs.columns
-    rows = _numbered(docs)
+    rows = numbered(docs, row_key(sorted(columns)), "mix_row", "mix_nth")
     table = saved(_with_table(rates), "rates")
     if table.count() <= broadcast_sources:
         joined = rows.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("mix_source")))

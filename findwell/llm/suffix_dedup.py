@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from findwell.llm._arrow import as_bytes, bounded_batches, chunks, flat, whole_groups
 from findwell.llm.decontamination import _mix, _powers_of
+from findwell.llm._rows import sent
 from findwell.session import saved
 
 LENGTH, GRAM = 200, 64
@@ -51,8 +52,6 @@ SPLIT_STRETCHES = 2_000
 PART = 16
 #: One row of so many is sampled; stretches there that make an anchor hot, or a content; parts of a hot anchor.
 SAMPLE, HOT_IN_SAMPLE, HOT_CONTENT, SPREAD = 64, 100, 16, 64
-#: Rows of a table up to which it is sent to every task (some 30 bytes each).
-BROADCAST_ROWS = 100_000
 _PLACE_BITS = 28
 #: Values that three of fit in a key; values and lengths that two of fit.
 _NARROW, _WIDE = 1 << 21, 1 << 31
@@ -348,15 +347,10 @@ def _find_strings(length: int):
     return run
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """A saved table, sent to every task if its size allows."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def _occurring_again(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Rows whose keys other rows have too, with the number of such rows; counts start before the shuffle, so that no key is hot."""
     again = saved(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), label)
-    return df.join(_sent(again), keys)
+    return df.join(sent(again), keys)
 
 
 def _with_wanted(docs: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
@@ -431,9 +425,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     seen = saved(seen, "sampled")
     hot = saved(seen.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
     known = saved(seen.where(F.col("n") >= HOT_CONTENT).drop("n"), "hot-contents")
-    found = found.join(_sent(known.select("content", F.lit(True).alias("known"))), "content", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    found = found.join(sent(known.select("content", F.lit(True).alias("known"))), "content", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     found = found.unionByName(known.withColumn("known", F.lit(False)))
-    found = found.join(_sent(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    found = found.join(sent(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     spread = F.when(F.col("known"), F.xxhash64("doc", "first")).when(F.col("hot"), F.pmod("content", F.lit(SPREAD))).otherwise(F.lit(0))
     dealt = found.select("anchor", "content", "doc", "first", "more", "hot", "known", spread.alias("spread")).repartition("anchor", "spread").sortWithinPartitions("anchor", "content")
     sieved = saved(dealt.drop("spread").mapInArrow(_sieve, _STRETCH + ", whole boolean"), "stretches")
@@ -442,8 +436,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     crowded = saved(opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("key"), "crowded")
     spans = whole
     if crowded.count():
-        parts = _repeated_parts(docs, opened.join(_sent(crowded), "key", "left_semi"), length, gram)
-        opened = opened.join(_sent(crowded), "key", "left_anti").unionByName(parts.where(F.col("n") <= split).drop("n"))
+        parts = _repeated_parts(docs, opened.join(sent(crowded), "key", "left_semi"), length, gram)
+        opened = opened.join(sent(crowded), "key", "left_anti").unionByName(parts.where(F.col("n") <= split).drop("n"))
         spans = spans.unionByName(_repeated_strings(docs, parts.where(F.col("n") > split), length))
     pieces = _with_wanted(docs, opened, "key", "first", "more").mapInArrow(_cut(length), "key bigint, doc bigint, first int, more int, bytes binary")
     sorted_out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "doc bigint, a int, b int")
@@ -466,8 +460,8 @@ def _with_spans(docs: DataFrame, length: int, gram: int, split: int, columns: li
     again = saved(texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated-rows")
     if again.count():
         # of equal rows one is searched, and all of each is repeated
-        one = saved(texts.join(_sent(again), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "one-of-equals")
-        spans = repeated_spans(texts.join(_sent(again), "doc", "left_anti").unionByName(one), length, gram, split)
+        one = saved(texts.join(sent(again), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "one-of-equals")
+        spans = repeated_spans(texts.join(sent(again), "doc", "left_anti").unionByName(one), length, gram, split)
         size = F.octet_length("text")
         spans = spans.unionByName(one.where(size >= length).select("doc", F.lit(0).alias("a"), size.alias("b")))
     else:

@@ -149,6 +149,12 @@ def test_base_score_by_brute_force(docs, odd, blocks):
             assert r["score"] <= 0
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_held_out_texts_score_above_the_base(spark, sf):
+    got = QUERIES["op3_lm_scoring"](spark, sf).where("held_out").toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
 def test_attention_gradients_and_single_scoring():
     from findwell.llm.attention import SYMBOLS, Attention
 
@@ -170,11 +176,64 @@ def test_attention_gradients_and_single_scoring():
         assert grads[name][at] == pytest.approx((up - down) / 2e-4, rel=2e-2)
     # a symbol's probability depends on what precedes it only, whatever else is scored with it
     symbols, lengths = rng.integers(0, 99, 60), np.array([23, 0, 37])
-    whole = model.log_probs(symbols, lengths)
-    assert whole == pytest.approx(np.concatenate([model.log_probs(symbols[:23], np.array([23])), model.log_probs(symbols[23:], np.array([37]))]), abs=1e-5)
+    whole = model.log_probs(symbols, lengths)[0]
+    assert whole == pytest.approx(np.concatenate([model.log_probs(symbols[:23], np.array([23]))[0], model.log_probs(symbols[23:], np.array([37]))[0]]), abs=1e-5)
     changed = symbols.copy()
     changed[10:23] = 5
-    assert model.log_probs(changed, lengths)[:10] == pytest.approx(whole[:10], abs=1e-5)
+    assert model.log_probs(changed, lengths)[0][:10] == pytest.approx(whole[:10], abs=1e-5)
+
+
+def test_next_words_and_the_end_sum_to_one():
+    from findwell.llm.attention import SYMBOLS, WIDE, Attention
+
+    rng = np.random.default_rng(3)
+    model = Attention(rng.random(SYMBOLS) * 9, dim=8, inner=8, window=8, stride=5, openers=2)
+    openers, others = np.arange(1, 2 * WIDE), np.arange(2 * WIDE, SYMBOLS)
+    context = [4, 80, 99, 7]  # two words
+
+    def last_words(words):
+        """The probability of each word, a row of symbols, after the context."""
+        n, k = words.shape
+        texts = np.c_[np.tile(context, (n, 1)), words, np.zeros((n, 1), np.int64)]
+        first = (np.arange(n)[:, None] * (k + 5) + [0, 3, 4, 4 + k]).ravel()
+        return np.exp(lm_scoring.spelled(model, texts.ravel(), first, np.tile([False, False, False, True], n)).reshape(n, 4)[:, 2])
+
+    lp, opens = model.log_probs(np.array([*context, 0]), np.array([5]))
+    the_end = np.exp(lp[4] - opens[4])
+    one = last_words(openers[:, None])
+    # of words that begin with a symbol, what one symbol leaves is what longer ones share
+    texts = np.c_[np.tile(context, (len(openers), 1)), openers, np.zeros((len(openers), 1), np.int64)]
+    lp, opens = (x.reshape(len(openers), 6) for x in model.log_probs(texts.ravel(), np.full(len(openers), 6)))
+    begun = np.exp(lp[:, 4] - opens[:, 4])
+    assert the_end + begun.sum() == pytest.approx(1, abs=1e-4)
+    assert one == pytest.approx(begun * np.exp(opens[:, 5]), rel=1e-4)
+    two = last_words(np.array([(s, c) for s in openers for c in others])).reshape(len(openers), -1).sum(1)
+    assert (one + two < begun + 1e-6).all() and the_end + one.sum() + two.sum() <= 1
+
+
+def test_counts_so_far():
+    index, n = np.array([3, 3, 1, 3, 4, 1, 1, 4]), np.array([5, 3])
+    got = lm_scoring._so_far(index, n, np.array([0, 5]), np.array([0, 0.2, 0, 0.5, 0.1]))
+    assert got.tolist() == [0.5, 1.0, 0.0, 2 / 3, 0.0, 0.2, 1.0, 0.0]
+
+
+def test_symbols_of_words_taken_together():
+    from findwell.llm.attention import SYMBOLS, WIDE
+
+    own = lm_scoring.Subwords(public.path("byte_bpe_50k.tiktoken"), public.PATTERN, [262, 290, 286, 1169, 276, 13, 11])
+    words = ["the", "and", "x\u00a0", "\u00a0\u00a0y", "\u3000", "a\u00a0b", "don't", "'s", "1,2...", "\x1c\x1d", "日本", "é", "\x85"] * 3
+    ids, sizes = own.ids(words)
+    assert ids.tolist() == [i for w in words for i in own.encoding.encode_ordinary(" " + w)]
+    symbols, n = own.symbols(words)
+    first = np.cumsum(n) - n
+    opens = symbols < own.openers * WIDE
+    assert opens.nonzero()[0].tolist() == first.tolist() and symbols.max() < SYMBOLS and symbols.min() > 0
+    # different words have different symbols
+    seen = {tuple(symbols[a : a + k].tolist()): w for a, k, w in zip(first, n, words)}
+    assert len(seen) == len(set(words))
+    packed, lengths = lm_scoring._packed([b"the and the", b"", b"x"], own)
+    assert packed[lengths.cumsum() - 1].tolist() == [0, 0, 0] and lengths.sum() == len(packed)
+    assert lengths[1] == 1
 
 
 def test_model_learns_from_all_training_documents(spark):

@@ -5,16 +5,23 @@ spaces. Runs of characters of all languages are kept in one sorted array of
 hashes per order with a column of log probabilities for each language, so one
 binary search serves all of them; where a run is unknown, the next shorter one is
 searched and the context's back-off weights are added. The language is that of
-the lowest cross-entropy per character. A text is rejected if its cross-entropy
-lies beyond what held-back texts of that language of its length show.
+the lowest cross-entropy per character.
+
+A text is rejected if no learnt language explains its words: each word costs what
+it costs in the language that fits it best, so texts that mix learnt languages
+stay, and the limit of that cost per character is calibrated on pieces of like
+length of held-back texts: somewhat beyond the largest cost that any of them has.
+No other texts are looked at for it.
 
 The models learn from `per_language` whole texts of each language at most, picked
-by a hash of the id; that is the bound of the sample. Every text is scored whole.
+by a hash of id and text; that is the bound of the sample. Every text is scored
+whole.
 
 Defined results: null texts and such without a letter are `und`, score 0,
-rejected. Rows without a language or with a null id teach nothing but are scored.
-With nothing to learn from all texts are `und`. Equal cross-entropies give the
-first language in sorted order. Other columns are ignored.
+rejected. Rows without a language or text teach nothing but are scored; rows with a
+null id teach where `learn` is true for them; equal rows teach once. With nothing to
+learn from all texts are `und`. Equal cross-entropies give the first language in
+sorted order. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm._arrow import bounded_batches, chunks
-from findwell.llm._chars import rolling, stream
+from findwell.llm._chars import _BASE, rolling, stream
+from findwell.llm._labelled import by_class, draw, share
 from findwell.llm._split import remainder
+from findwell.session import saved
 
 ORDER = 5
 #: Texts of a language that are learnt from at most; a fifth of them only calibrate.
-PER_LANGUAGE = 200
-#: Standard deviations beyond which a text is rejected; texts that mix learnt languages stay within.
-REJECT_SD = 14.0
+PER_LANGUAGE = 400
+#: How far beyond the costs of held-back pieces the limit lies, as a part of what lies between their median and their largest.
+MARGIN = 0.5
+#: Lengths in characters for which limits are calibrated.
+LENGTHS = tuple(8 << k for k in range(10))
 #: Characters that count at most for how sure a prediction is.
 SURE_CHARS = 60
 UNKNOWN = "und"
@@ -55,34 +66,45 @@ class KneserNey:
         self.languages, self.order = sorted(texts), order
         if not texts:
             return
-        held = {n: t[::5] if len(t) >= 10 else t for n, t in texts.items()}
+        held = [x for t in texts.values() if len(t) >= 10 for x in t[::5]]
         self._learn({n: [x for k, x in enumerate(t) if len(t) < 10 or k % 5] for n, t in texts.items()})
         self._calibrate(held)
 
-    def _learn(self, texts: dict[str, list[str]]) -> None:
+    def _learn(self, texts: dict[str, list[str]], piece: int = 1 << 20) -> None:
         order, languages = self.order, self.languages
         chars, owner, counts = stream([t for n in languages for t in texts[n]])
-        of = np.repeat(np.arange(len(languages)), [len(texts[n]) for n in languages])[owner]
-        hashes = rolling(chars, order)
-        valid = np.arange(len(chars)) >= order
-        at = np.flatnonzero(valid)
-        seen = np.flatnonzero(counts & valid)
+        of = np.repeat(np.arange(len(languages), dtype=np.int16), [len(texts[n]) for n in languages])[owner]
+        del owner
+        counts[:order] = False
+        n_lang, pieces = len(languages), range(order, len(chars), piece)
         self.tables: list[np.ndarray] = []
-        firsts = []
+        suffix: list = [None] * (order + 1)
+        context: list = [None] * (order + 1)
+        h, power = np.zeros(len(chars), np.uint64), 1
         for k in range(order + 1):
-            table, first = np.unique(hashes[k][at], return_index=True)
+            if k:
+                power = power * _BASE % (1 << 64)
+                shorter, h = h, h.copy()
+                h[k - 1 :] += (chars[: max(0, len(chars) - k + 1)] + np.uint64(1)) * np.uint64(power)
+            # distinct runs and where each occurs first, a piece at a time
+            found = [np.unique(h[a : a + piece], return_index=True) for a in pieces]
+            table, first = np.unique(np.concatenate([np.empty(0, np.uint64), *(t for t, _ in found)]), return_index=True)
+            first = np.concatenate([np.empty(0, np.int64), *(f + a for (_, f), a in zip(found, pieces))])[first]
             self.tables.append(table)
-            firsts.append(at[first])
-        suffix = [None] + [_find(self.tables[k - 1], hashes[k - 1][firsts[k]]) for k in range(1, order + 1)]
-        # contexts end a place earlier; those before the first valid place are all pads
-        context = [None] + [_find(self.tables[k - 1], hashes[k - 1][firsts[k] - 1]) for k in range(1, order + 1)]
-        n_lang = len(languages)
+            if k:
+                suffix[k] = _find(self.tables[k - 1], shorter[first])
+                # contexts end a place earlier; those before the first valid place are all pads
+                context[k] = _find(self.tables[k - 1], shorter[first - 1])
+        top = np.zeros((n_lang, len(self.tables[order])), np.int64)
+        for a in pieces:
+            seen = a + np.flatnonzero(counts[a : a + piece])
+            np.add.at(top, (of[seen], _find(self.tables[order], h[seen])), 1)
+        del h, chars, counts
         self.logp = [np.zeros((len(t), n_lang), np.float32) for t in self.tables]
         self.backoff = [np.zeros((len(t), n_lang), np.float32) for t in self.tables]
         for lang in range(n_lang):
-            own = seen[of[seen] == lang]
             count: list = [None] * (order + 1)
-            count[order] = np.bincount(_find(self.tables[order], hashes[order][own]), minlength=len(self.tables[order]))
+            count[order] = top[lang]
             for k in range(order - 1, 0, -1):
                 count[k] = np.bincount(suffix[k + 1][count[k + 1] > 0], minlength=len(self.tables[k]))
             p = np.full(1, 1.0 / (len(self.tables[1]) + 1))
@@ -98,101 +120,117 @@ class KneserNey:
                 self.backoff[k - 1][:, lang] = np.log2(spare)
                 self.logp[k][:, lang] = np.log2(p)
 
-    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Summed code lengths (text x language), their sums of squares, and the characters of each text."""
-        n_lang, order = len(self.languages), self.order
+    def word_costs(self, texts: list[str], size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, characters with the blank after it, code length in each language) of every word, in order."""
+        order = self.order
         chars, owner, counts = stream(texts)
-        hashes = rolling(chars, order)
         counts[:order] = False
-        at = np.flatnonzero(counts)
-        n = np.bincount(owner[at], minlength=len(texts))
-        total = np.zeros((len(texts), n_lang))
-        square = np.zeros((len(texts), n_lang))
-        if not len(at):
-            return total, square, n
-        logp = np.zeros((len(at), n_lang), np.float32)
-        todo = np.arange(len(at))
-        for k in range(order, -1, -1):
-            found = _find(self.tables[k], hashes[k][at[todo]])
-            hit = found >= 0
-            logp[todo[hit]] += self.logp[k][found[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                break
-            context = _find(self.tables[k - 1], hashes[k - 1][at[todo] - 1])
-            known = context >= 0
-            logp[todo[known]] += self.backoff[k - 1][context[known]]
-        begins = np.flatnonzero(np.r_[True, np.diff(owner[at]) > 0])
-        rows = owner[at][begins]
-        total[rows] = -np.add.reduceat(logp, begins, axis=0, dtype=np.float64)
-        square[rows] = np.add.reduceat(logp * logp, begins, axis=0, dtype=np.float64)
-        return total, square, n
-
-    def _calibrate(self, texts: dict[str, list[str]]) -> None:
-        n_lang = len(self.languages)
-        self.mean, self.doc_sd, self.char_sd = np.full(n_lang, 99.0), np.zeros(n_lang), np.ones(n_lang)
-        for lang, name in enumerate(self.languages):
-            total, square, n = self.bits(texts[name])
-            ok = n > 0
-            if not ok.any():
+        ends = counts & (chars == 32)
+        word = np.cumsum(ends) - ends
+        cost = np.zeros((int(ends.sum()), len(self.languages)), np.float32)
+        for a in range(0, len(chars), size):
+            lead = min(a, order + 1)
+            hashes = rolling(chars[a - lead : a + size], order)
+            at = lead + np.flatnonzero(counts[a : a + size])
+            if not len(at):
                 continue
-            total, square, n = total[ok, lang], square[ok, lang], n[ok]
-            mean = total.sum() / n.sum()
-            var = max(square.sum() / n.sum() - mean * mean, 1e-6)
-            each = total / n
-            # how texts differ beyond what their lengths explain
-            extra = np.average((each - mean) ** 2 - var / n, weights=n)
-            self.mean[lang], self.char_sd[lang], self.doc_sd[lang] = mean, np.sqrt(var), np.sqrt(max(extra, 0.0025))
-
-    def predict(self, texts: list[str], reject_sd: float = REJECT_SD) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+            logp = np.zeros((len(at), len(self.languages)), np.float32)
+            todo = np.arange(len(at))
+            for k in range(order, -1, -1):
+                found = _find(self.tables[k], hashes[k][at[todo]])
+                hit = found >= 0
+                logp[todo[hit]] -= self.logp[k][found[hit]]
+                todo = todo[~hit]
+                if not len(todo):
+                    break
+                context = _find(self.tables[k - 1], hashes[k - 1][at[todo] - 1])
+                known = context >= 0
+                logp[todo[known]] -= self.backoff[k - 1][context[known]]
+            own = word[a - lead + at]
+            begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            cost[own[begins]] += np.add.reduceat(logp, begins, axis=0)
+        return owner[ends], np.bincount(word[counts], minlength=len(cost)), cost
+
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code lengths (text x language), those with each word in the language that fits it best, and the characters of each text."""
+        owner, chars, cost = self.word_costs(texts)
+        total, best = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+        if len(begins):
+            total[owner[begins]] = np.add.reduceat(cost, begins, axis=0, dtype=np.float64)
+            best[owner[begins]] = np.add.reduceat(cost.min(1), begins, dtype=np.float64)
+        return total, best, np.bincount(owner, weights=chars, minlength=len(texts)).astype(np.int64)
+
+    def _calibrate(self, texts: list[str]) -> None:
+        """Limits of the cost per character for texts of each of LENGTHS and more."""
+        self.limits = np.full(len(LENGTHS), np.inf)
+        owner, chars, cost = self.word_costs(texts)
+        at, spent = np.r_[0, np.cumsum(chars)], np.r_[0, np.cumsum(cost.min(1), dtype=np.float64)]
+        last = np.searchsorted(owner, owner, side="right")
+        for k, length in enumerate(LENGTHS):
+            # pieces of whole words that begin at any word
+            to = np.searchsorted(at, at[:-1] + length)
+            own = np.flatnonzero(to <= last)
+            if len(own) < 100:
+                # longer pieces differ less, so what holds for shorter ones is no stricter
+                self.limits[k:] = self.limits[k - 1] if k else np.inf
+                break
+            each = (spent[to[own]] - spent[own]) / (at[to[own]] - at[own])
+            middle, most = np.median(each), each.max()
+            self.limits[k] = most + MARGIN * (most - middle)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, bits per character, rejected) of each text."""
         if not self.languages:
             none = np.zeros(len(texts))
             return [UNKNOWN] * len(texts), none, none, np.ones(len(texts), bool)
-        total, _, n = self.bits(texts)
+        total, explained, n = self.bits(texts)
         each = total / np.maximum(n, 1)[:, None]
+        explained = explained / np.maximum(n, 1)
         best = each.argmin(1)
         low = each.min(1)
         odds = np.exp2(-(each - low[:, None]) * np.minimum(n, SURE_CHARS)[:, None])
-        limit = self.mean[best] + reject_sd * (self.doc_sd[best] + self.char_sd[best] / np.sqrt(np.maximum(n, 1)))
-        rejected = (low > limit) | (n == 0)
-        score = np.where(n == 0, 0.0, odds.max(1) / odds.sum(1) * np.where(rejected, 0.5 * np.minimum(1, limit / np.maximum(low, 1e-9)), 1.0))
+        limit = np.r_[np.inf, self.limits][np.searchsorted(LENGTHS, n, side="right")]
+        rejected = (explained > limit) | (n == 0)
+        score = np.where(n == 0, 0.0, odds.max(1) / odds.sum(1) * np.where(rejected, 0.5, 1.0))
         return [self.languages[b] if m else UNKNOWN for b, m in zip(best.tolist(), n.tolist())], score, low, rejected
 
 
 def sample_by_language(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, seed: int = 1) -> dict[str, list[str]]:
-    """Up to `per_language` texts of each language, those of the least hashes of id and text length."""
+    """Up to `per_language` different rows' texts of each language, those of the least hashes of id and text."""
     rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     # a share somewhat above the bound, then exactly the bound, by the same hash
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, (per_language + 6 * per_language**0.5 + 10) / n))).otherwise(share)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < share).select("lang", "draw", "text").toPandas()
-    picked = picked.sort_values(["lang", "draw", "text"])
-    return {name: part["text"].tolist()[:per_language] for name, part in picked.groupby("lang")}
-
-
-def identify(docs: DataFrame, learn: Column | None = None, per_language: int = PER_LANGUAGE, order: int = ORDER, reject_sd: float = REJECT_SD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    number = draw(F.lit(seed), F.col("doc_id"), F.col("text"))
+    picked = rows.withColumn("draw", number).where(F.col("draw") < by_class("lang", {n: share(per_language, k) for n, k in counts.items()}))
+    once = saved(picked.groupBy("lang", "draw").agg(F.first("text").alias("text")).orderBy("lang", "draw"), "language-sample")
+    out: dict[str, list[str]] = {}
+    for row in once.toLocalIterator():
+        own = out.setdefault(row["lang"], [])
+        if len(own) < per_language:
+            own.append(row["text"])
+    return out
+
+
+def identify(docs: DataFrame, learn: Column | None = None, per_language: int = PER_LANGUAGE, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang_pred, score, bits (per character), rejected. `learn` says which rows teach, by their doc_id."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     model = KneserNey(sample_by_language(rows, F.lit(True) if learn is None else learn, per_language), order)
-    return identify_with(rows, model, reject_sd)
+    return identify_with(rows, model)
 
 
-def identify_with(rows: DataFrame, model: KneserNey, reject_sd: float = REJECT_SD) -> DataFrame:
+def identify_with(rows: DataFrame, model: KneserNey) -> DataFrame:
     """The same with a model at hand, for rows (doc_id, text)."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 19):
-            lang, score, low, rejected = sent.value.predict([t or "" for t in batch.column(1).to_pylist()], reject_sd)
+            lang, score, low, rejected = sent.value.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
 
     return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, rejected boolean")

@@ -87,6 +87,71 @@ def test_kneser_ney_sums_to_one():
             assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_kneser_ney_by_brute_force():
+    texts = {"a": ["abab abba baab", "aabb, ab ba cab!"], "b": ["bbb aba", "Babb ab"]}
+    order = 3
+    model = language_id.KneserNey(texts, order=order)
+
+    def chars(text):
+        return " " * 8 + "".join(w + " " for w in re.findall("[a-z]+", text.lower()))
+
+    def probability(lang):
+        runs = Counter(c[e - order : e] for c in map(chars, texts[lang]) for e in range(9, len(c) + 1))
+        levels = {order: runs}
+        for k in range(order - 1, 0, -1):
+            levels[k] = Counter(r[1:] for r in levels[k + 1])
+
+        def p(run):
+            k = len(run)
+            if not k:
+                return 1 / (len("abc ") + 1)
+            c = levels[k]
+            once, twice = (sum(v == n for v in c.values()) for n in (1, 2))
+            discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
+            same = {r: n for r, n in c.items() if r[:-1] == run[:-1]}
+            if not same:
+                return p(run[1:])
+            total = sum(same.values())
+            return max(c[run] - discount, 0) / total + discount * len(same) / total * p(run[1:])
+
+        return p
+
+    for text in ("ab cab", "zb", "Bab! aabb", "c"):
+        total, explained, n = model.bits([text, "ab"])
+        c, cost = chars(text), []
+        for p in map(probability, model.languages):
+            each = [-math.log2(p(c[e - order : e])) for e in range(9, len(c) + 1)]
+            ends = [0, *(e - 8 for e in range(9, len(c) + 1) if c[e - 1] == " ")]
+            cost.append([sum(each[a:b]) for a, b in zip(ends, ends[1:])])
+        assert n[0] == len(c) - 8
+        assert total[0] == pytest.approx([sum(x) for x in cost], rel=1e-4)
+        assert explained[0] == pytest.approx(sum(map(min, *cost)), rel=1e-4)
+
+
+def test_texts_in_no_learnt_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(remainder("doc_id", 5) != 0)
+    model = language_id.KneserNey(language_id.sample_by_language(docs, F.lit(True), 100))
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(60))
+    foreign = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+        "Vaka vanha Väinämöinen itse tuon sanoiksi virkkoi näistä kantele tulisi soitto suoreaisi kansojen keskessä",
+        "Мороз и солнце день чудесный еще ты дремлешь друг прелестный пора красавица проснись",
+        "".join(chr(0x4E00 + 17 * k) for k in range(90)), noise, noise[:60],
+    ]
+    assert model.predict(foreign)[3].all()
+    held = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where((remainder("doc_id", 5) == 0) & F.col("text").isNotNull()).collect()]
+    mixed = [a[:200] + " " + b[:200] for a, b in zip(held, reversed(held))]
+    assert not model.predict(held)[3].any() and not model.predict(mixed)[3].any()
+    # nothing is known about texts of a few letters
+    assert not model.predict(["xqz"])[3].any()
+    # long texts in pieces
+    long = " ".join(held[:40])
+    whole = model.word_costs([long])
+    for got, want in zip(model.word_costs([long], size=1000), whole):
+        assert got == pytest.approx(want, abs=1e-3)
+
+
 def test_bits_do_not_depend_on_neighbours():
     model = language_id.KneserNey({"a": ["abab abba"], "b": ["bbb aba"]}, order=3)
     texts = ["ab", "", "12", "b a.", "aab"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,25 +27,41 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    made and set as the checkpoint folder.
+    Where the setting is absent and Spark runs on one machine (tests), a temporary
+    folder is made and set as the checkpoint folder. A cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="findwell-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path under the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/findwell-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write a result to a path and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write a result to the shared folder and read it back.
 
     Cuts lineage and keeps the result when an executor is lost.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/findwell-{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, new_path(df.sparkSession, label))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a path, wherever it is stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

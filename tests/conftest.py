@@ -4,6 +4,8 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+# one thread for each worker's linear algebra, as on a cluster
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
 from findwell.session import local_session  # noqa: E402

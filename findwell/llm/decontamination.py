@@ -377,3 +377,20 @@ def _by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+_A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_A_TO_Z}', '{_A_TO_Z.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id::VARCHAR AS id, row_number() OVER () AS n, {_WORDS} AS ws FROM benchmark),
+w AS (SELECT id, n, ws, least(len(ws), {WINDOW}) AS m FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT id, n, m, array_to_string(ws[k:k + m - 1], ' ') AS run FROM w, unnest(range(1, len(ws) - m + 2)) AS q(k)),
+dw AS (SELECT r, m, k, array_to_string(ws[k:k + m - 1], ' ') AS run FROM d, (SELECT DISTINCT m FROM iw) AS l, unnest(range(1, len(ws) - m + 2)) AS q(k)),
+h AS (SELECT r, k, dw.m, id, n FROM dw JOIN iw ON dw.m = iw.m AND dw.run = iw.run),
+c AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, p FROM h, unnest(range(k, k + m)) AS q(p)) x GROUP BY r),
+f AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id, n FROM h) x GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN f ON d.r = f.r
+"""

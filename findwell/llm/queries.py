@@ -20,6 +20,4 @@ MODULES = {
 
 QUERIES = {name: getattr(import_module(f"findwell.llm.{module}"), name) for name, module in MODULES.items()}
 
-ORACLE_SQL: dict[str, str] = {
-    "op7_source_mixing": import_module("findwell.llm.mixing").ORACLE_SQL,
-}
+ORACLE_SQL: dict[str, str] = {name: import_module(f"findwell.llm.{MODULES[name]}").ORACLE_SQL for name in ("op4_benchmark_decontamination", "op6_suffix_array_dedup", "op7_source_mixing")}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findwell.llm._arrow import as_bytes, bounded_batches, chunks, whole_groups
-from findwell.session import saved
+from findwell.session import delete, new_path, saved, written
 
 #: Bits of a fingerprint and most differing bits of a link.
 BITS, ERRORS = 64, 4
@@ -207,32 +207,36 @@ def links(nodes: DataFrame, errors: int = ERRORS, split_rows: int = SPLIT_ROWS)
     return out.distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes with a link.
 
-    Alternating large-star and small-star steps on edges (a, b); each step leaves
-    at most one edge for each edge before it and is written to the shared folder.
+    Alternating large-star and small-star steps on edges (a, b) until nothing
+    changes; each step leaves at most one edge for each edge before it and is
+    written to the shared folder, where it replaces the one before.
     """
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
-    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), path)
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = smallest(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = smallest(large)
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = saved(small, "edges")
+        following = new_path(spark, "edges")
+        edges = written(small, following)
+        delete(spark, path)
+        path = following
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

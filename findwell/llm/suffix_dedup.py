@@ -526,3 +526,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spl
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return removal(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS t FROM documents),
+b AS (SELECT r, p, t FROM d, unnest(range(1, octet_length(t) + 1)) AS q(p)),
+s AS (SELECT r, p, CASE WHEN p + {LENGTH - 1} <= octet_length(t) THEN md5(t[p:p + {LENGTH - 1}]) END AS run, hex(t[p:p]) AS x FROM b),
+m AS (SELECT r, p, x, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS again FROM s),
+g AS (SELECT r, p, x, coalesce(p - max(CASE WHEN again THEN p END) OVER (PARTITION BY r ORDER BY p) < {LENGTH}, false) AS gone FROM m),
+e AS (SELECT r, p, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM g),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY r)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""

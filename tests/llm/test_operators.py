@@ -56,6 +56,11 @@ def as_rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, small, name):
+    assert rows_of_spark(QUERIES[name](spark, small)) == rows_of_sql(connect(small), ORACLE_SQL[name])
+
+
 # 1 ----------------------------------------------------------------------------
 
 
@@ -518,10 +523,6 @@ def test_cut_texts_stay_valid(spark, odd, none):
 # 7 ----------------------------------------------------------------------------
 
 
-def test_mix_equals_sql(spark, small):
-    assert rows_of_spark(QUERIES["op7_source_mixing"](spark, small)) == rows_of_sql(connect(small), ORACLE_SQL["op7_source_mixing"])
-
-
 def test_mix_rates(spark, odd, none):
     rows = spark.createDataFrame([(k, None if k % 3 else "a") for k in range(3000)], "doc_id long, source string")
     weights = spark.createDataFrame([("a", 3.0), (None, 1.0)], "source string, weight double")
@@ -682,6 +683,14 @@ def test_components_by_brute_force(spark, docs, split):
     assert (got.component_id.to_numpy() == _components(prints, got.doc_id.to_numpy())).all()
 
 
+def test_components_of_a_long_chain(spark):
+    order = list(range(3000))
+    random.Random(4).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:])) + [(5000, 5001)], "a long, b long")
+    got = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+    assert got == {k: 0 for k in order} | {5000: 5000, 5001: 5000}
+
+
 def test_fingerprint_by_the_rule(odd, none):
     import xxhash
 

@@ -36,6 +36,9 @@ class Config:
     compat_labels: bool = False
     #: Words of a vocabulary up to which its stems are sent to every task.
     broadcast_words: int = 500_000
+    #: Terms of queries up to which they are sent to every task, and up to which they are literals of a scan.
+    broadcast_terms: int = 100_000
+    literal_terms: int = 1_000
 
     @staticmethod
     def from_json(path: str) -> Config:

@@ -30,19 +30,29 @@ def page_tokens(pages: DataFrame, doc_id: str = "page_id", url: str = "url", htm
     return pages.select(F.col(doc_id).alias("doc_id"), F.col(url).alias("url"), F.flatten(tagged).alias("tokens"))
 
 
+def word_rows(tokens: DataFrame) -> DataFrame:
+    """(doc_id, url, doc_len, pos, tag, token): one row per word, with what postings say of its document."""
+    rows = tokens.select("doc_id", "url", F.size("tokens").cast("bigint").alias("doc_len"), F.posexplode("tokens").alias("pos", "x"))
+    return rows.select("doc_id", "url", "doc_len", "pos", F.col("x.tag").alias("tag"), F.col("x.token").alias("token"))
+
+
 def occurrences(tokens: DataFrame) -> DataFrame:
     """(doc_id, pos, tag, token): one row per word."""
-    return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "x")).select("doc_id", "pos", F.col("x.tag").alias("tag"), F.col("x.token").alias("token"))
+    return word_rows(tokens).select("doc_id", "pos", "tag", "token")
 
 
-def stemmed(occ: DataFrame, config: Config = Config()) -> DataFrame:
-    """Tokens replaced by their stems; each distinct word is stemmed once.
+def stemmed(occ: DataFrame, config: Config = Config(), terms: list[str] | None = None) -> DataFrame:
+    """Tokens replaced by their stems, other columns kept; with `terms` only rows with these stems.
 
-    Stems are written first: a filter on them must not be pushed into the steps,
-    whose expressions would grow with every one it passes.
+    Each distinct word is stemmed once. Stems are written first: a filter on them must
+    not be pushed into the steps, whose expressions would grow with every one it
+    passes. A table of few words is sent to every task, so rows are not shuffled.
     """
     stems = saved(with_stem(occ.select(F.col("token").alias("word")).distinct()), "stems")
-    return occ.join(stems, occ["token"] == stems["word"]).select("doc_id", "pos", "tag", F.col("stem").alias("token"))
+    if terms is not None:
+        stems = stems.where(F.col("stem").isin(list(terms)))
+    stems = F.broadcast(stems) if stems.count() <= config.broadcast_words else stems
+    return occ.join(stems, occ["token"] == stems["word"]).select(*(c for c in occ.columns if c != "token"), F.col("stem").alias("token"))
 
 
 def content_hash(tokens: Column) -> Column:
@@ -55,11 +65,13 @@ def doc_table(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "url", F.size("tokens").cast("bigint").alias("doc_len"), path_parts(F.coalesce("url", F.lit(""))).alias("url_depth"), content_hash(F.col("tokens")).alias("content_hash"))
 
 
-def postings(occ: DataFrame, docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(token, doc_id, url, frequency, tags, position_v); tags in the order of first use."""
-    grouped = occ.groupBy("token", "doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("at"))
-    joined = grouped.join(docs.select("doc_id", "url", "doc_len"), "doc_id")
-    return joined.select(
+def postings(words: DataFrame, config: Config = Config()) -> DataFrame:
+    """(token, doc_id, url, frequency, tags, position_v) of word rows; tags in the order of first use.
+
+    A document's rows stand together, so its words are grouped before they are shuffled.
+    """
+    grouped = words.groupBy("token", "doc_id", "url", "doc_len").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("at"))
+    return grouped.select(
         "token", "doc_id", "url", (F.col("n") / F.col("doc_len")).alias("frequency"),
         F.slice(F.array_distinct(F.col("at.tag")), 1, config.most_tags).alias("tags"), F.col("at.pos").alias("position_v"),
     )
@@ -98,6 +110,12 @@ def distinct_docs(docs: DataFrame) -> DataFrame:
     return first.select("doc_id", F.col("rep_url").alias("url"), F.col("m.doc_len").alias("doc_len"), path_parts(F.col("rep_url")).alias("url_depth"), F.col("m.content_hash").alias("content_hash"))
 
 
+def distinct_tokens(tokens: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Tokens of the documents that stay, under their representative urls."""
+    kept = distinct_docs(doc_table(tokens)) if docs is None else docs
+    return tokens.drop("url").join(kept.select("doc_id", "url"), "doc_id").select("doc_id", "url", "tokens")
+
+
 # look-ups ---------------------------------------------------------------------
 
 
@@ -124,5 +142,20 @@ def merge_postings(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def skip_sample(posts: DataFrame, share: float = 0.05, seed: int = 0) -> DataFrame:
-    """Postings that would anchor skips: each with probability `share`."""
-    return posts.where(F.rand(seed) < share)
+    """Postings that would anchor skips: each with probability `share`, by a hash of token and id, so the same on every run."""
+    key = F.concat_ws(":", F.lit(str(seed)), "token", F.col("doc_id").cast("string"))
+    return posts.where(F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") < F.lit(int(share * (1 << 52))))
+
+
+# JSON -------------------------------------------------------------------------
+
+
+def postings_as_json(posts: DataFrame) -> DataFrame:
+    """(token, json): each posting as a JSON object."""
+    return posts.select("token", F.to_json(F.struct("doc_id", "url", "frequency", "tags", "position_v")).alias("json"))
+
+
+def postings_from_json(rows: DataFrame, doc_id: str = "bigint") -> DataFrame:
+    """Postings of (token, json); a posting that is no JSON object has null fields."""
+    fields = f"doc_id {doc_id}, url string, frequency double, tags array<string>, position_v array<int>"
+    return rows.select("token", F.from_json("json", fields).alias("p")).select("token", "p.*")

@@ -26,9 +26,14 @@ def query_table(spark: SparkSession, queries: dict[int, str] | list[tuple[int, l
     return spark.createDataFrame(rows, "qid int, k int, term string, tolerance int")
 
 
-def matching(posts: DataFrame, terms: DataFrame, most_postings: int = -1) -> DataFrame:
-    """Postings of the queries' terms, with qid, k and tolerance; unknown terms drop out."""
-    found = posts.join(F.broadcast(terms), posts["token"] == terms["term"]).drop("term")
+def sent(few: DataFrame, rows: int, config: Config) -> DataFrame:
+    """A table of at most `rows` rows, sent to every task if these are few."""
+    return F.broadcast(few) if rows <= config.broadcast_terms else few
+
+
+def matching(posts: DataFrame, terms: DataFrame, most_postings: int = -1, config: Config = Config(), n_terms: int | None = None) -> DataFrame:
+    """Postings of the queries' terms (n_terms, counted if not given), with qid, k and tolerance; unknown terms drop out."""
+    found = posts.join(sent(terms, terms.count() if n_terms is None else n_terms, config), posts["token"] == terms["term"]).drop("term")
     if most_postings >= 0:
         w = Window.partitionBy("qid", "k").orderBy("doc_id")
         found = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most_postings).drop("nth")
@@ -64,9 +69,10 @@ def search(posts: DataFrame, terms: DataFrame, corpus_size: int | DataFrame, mod
     size = corpus_size if isinstance(corpus_size, int) else corpus_size.count()
     vocab = df if df is not None else posts.groupBy("token").agg(F.count("*").alias("df"))
     known = terms.join(vocab, terms["term"] == vocab["token"]).select("qid", "k", "tolerance", "term", "df")
-    # terms are those of the queries at hand, so their counts are as few
-    known = F.broadcast(known.withColumn("found", F.count("*").over(Window.partitionBy("qid"))))
-    hits = matching(posts, known, config.most_postings if mode == "or" else -1)
+    known = known.withColumn("found", F.count("*").over(Window.partitionBy("qid")))
+    # there are no more known terms than terms
+    n_terms = terms.count()
+    hits = matching(posts, known, config.most_postings if mode == "or" else -1, config, n_terms)
     hits = hits.withColumn("base", F.lit(config.tfidf_weight) * F.col("frequency") * F.log10(F.lit(float(size)) / F.col("df")) + tag_score(F.col("tags"), config.tag_weights, config.tag_weight))
     hits = hits.withColumn("depth", F.lit(config.depth_weight) / path_parts(F.coalesce("url", F.lit(""))))
     per = hits.groupBy("qid", "doc_id").agg(
@@ -80,7 +86,7 @@ def search(posts: DataFrame, terms: DataFrame, corpus_size: int | DataFrame, mod
     positions = spread(hits.where("found > 1"))
     if mode == "and":
         positions = positions.join(per.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
-    runs = phrase_runs(positions).join(F.broadcast(known.select("qid", "found").distinct()), "qid").where(F.col("n_terms") >= F.col("found"))
+    runs = phrase_runs(positions).join(sent(known.select("qid", "found").distinct(), n_terms, config), "qid").where(F.col("n_terms") >= F.col("found"))
     if config.compat_labels:
         runs = runs.where("found < 3")
     boost = runs.groupBy("qid", "doc_id").agg((F.count("*") * F.lit(config.run_weight)).alias("boost"))
@@ -93,3 +99,11 @@ def search(posts: DataFrame, terms: DataFrame, corpus_size: int | DataFrame, mod
 def page_of(results: DataFrame, page: int, size: int = 15) -> DataFrame:
     """The results of a page, from 1."""
     return results.where((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
+
+
+def page_label(results: DataFrame, page: int, size: int = 15) -> DataFrame:
+    """(label, has_previous, has_next) of a page: "lo to hi", "0 to 0" without results."""
+    low = (page - 1) * size
+    high = F.least(F.lit(low + size), F.col("n"))
+    label = F.concat(F.when(high > 0, F.lit(low + 1)).otherwise(0).cast("string"), F.lit(" to "), high.cast("string"))
+    return results.agg(F.count("*").alias("n")).select(label.alias("label"), F.lit(low > 0).alias("has_previous"), (high < F.col("n")).alias("has_next"))

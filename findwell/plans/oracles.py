@@ -23,6 +23,7 @@ DFS = "dfs AS (SELECT token, count(DISTINCT doc_id) AS df FROM occ GROUP BY toke
 REPS = """groups AS (SELECT content_hash, count(*) AS n_docs, arg_min(url, (length(url), url)) AS rep_url FROM docs GROUP BY content_hash),
 aliases AS (SELECT DISTINCT url, rep_url FROM docs JOIN groups USING (content_hash)),
 kept AS (SELECT min(doc_id) AS doc_id, rep_url AS url FROM docs JOIN groups USING (content_hash) GROUP BY rep_url)"""
+KEPT_POSTS = "posts AS (SELECT token, o.doc_id, k.url, count(*)::DOUBLE / d.doc_len AS frequency, 10.0::DOUBLE AS tag FROM occ o JOIN kept k ON o.doc_id = k.doc_id JOIN docs d ON o.doc_id = d.doc_id GROUP BY token, o.doc_id, k.url, d.doc_len)"
 PARTS = "len(string_split(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/'))"
 TAGS = "CASE t " + " ".join(f"WHEN '{t}' THEN {w}::DOUBLE" for t, w in TAG_WEIGHTS.items()) + " ELSE 0.0::DOUBLE END"
 
@@ -128,8 +129,7 @@ ORACLE_SQL = {
     "vocab_df": f"WITH {TOKS}, {DFS} SELECT token, df FROM dfs",
     "vocab_stats": f"WITH {TOKS} SELECT count(DISTINCT token) AS n_tokens, count(DISTINCT token) FILTER (NOT regexp_full_match(token, '[0-9]+')) AS n_not_numeric FROM occ",
     "vocab_ceiling": f"WITH {TOKS}, p(probe) AS (VALUES ('a'), ('heeb'), ('thz'), ('zzzzzz')) SELECT probe, (SELECT min(token) FROM occ WHERE token >= probe) AS token FROM p",
-    "doc_successor": f"WITH {TOKS}, d AS (SELECT DISTINCT token, doc_id FROM occ WHERE token IN ('er', 'the', 'heed')) SELECT token, doc_id, lead(doc_id) OVER (PARTITION BY token ORDER BY doc_id) AS next_doc FROM d",
-    "doc_successor_all": f"WITH {TOKS}, d AS (SELECT DISTINCT token, doc_id FROM occ) SELECT token, doc_id, lead(doc_id) OVER (PARTITION BY token ORDER BY doc_id) AS next_doc FROM d",
+    "doc_successor": f"WITH {TOKS}, d AS (SELECT DISTINCT token, doc_id FROM occ) SELECT token, doc_id, lead(doc_id) OVER (PARTITION BY token ORDER BY doc_id) AS next_doc FROM d",
     "term_postings": f"{BASE}, {POSTS} SELECT doc_id, url, round(frequency, 9) AS frequency, n FROM posts WHERE token = 'heed'",
     "duplicate_groups": f"{BASE}, {REPS} SELECT content_hash, n_docs, rep_url FROM groups",
     "alias_map": f"{BASE}, {REPS} SELECT url, rep_url FROM aliases",
@@ -137,8 +137,7 @@ ORACLE_SQL = {
     "dedup_postings": f"{BASE}, {REPS} SELECT token, o.doc_id, k.url, round(count(*)::DOUBLE / doc_len, 9) AS frequency FROM occ o JOIN kept k ON o.doc_id = k.doc_id JOIN docs d ON d.doc_id = o.doc_id GROUP BY token, o.doc_id, k.url, doc_len",
     "df_after_dedup": f"{BASE}, {REPS} SELECT token, count(DISTINCT o.doc_id) AS df FROM occ o JOIN kept k ON o.doc_id = k.doc_id GROUP BY token",
     "url_depth": f"SELECT page_id, {PARTS} AS parts, round(5.0::DOUBLE / {PARTS}, 6) AS depth_score FROM pages",
-    "tag_scores": f"WITH {PAGE_OCC}, occ AS (SELECT page_id AS doc_id, pos, tag, token FROM pocc WHERE token IN ('en', 'er', 'de')), {TAGGED} SELECT token, doc_id AS page_id, round(tag, 6) AS tag_score FROM tagged",
-    "tag_scores_all": f"WITH {PAGE_OCC}, occ AS (SELECT page_id AS doc_id, pos, tag, token FROM pocc), {TAGGED} SELECT token, doc_id AS page_id, round(tag, 6) AS tag_score FROM tagged",
+    "tag_scores": f"WITH {PAGE_OCC}, occ AS (SELECT page_id AS doc_id, pos, tag, token FROM pocc), {TAGGED} SELECT token, doc_id AS page_id, round(tag, 6) AS tag_score FROM tagged",
     "idf": f"WITH {TOKS}, {DFS} SELECT token, round(log10(({N_DOCS})::DOUBLE / df), 6) AS idf FROM dfs",
     "tfidf": f"{BASE}, {POSTS}, {DFS} SELECT token, doc_id, round(50.0::DOUBLE * frequency * log10(({N_DOCS})::DOUBLE / df), 6) AS tfidf FROM posts JOIN dfs USING (token)",
     "query_prepare": _prepared_rows(),
@@ -159,4 +158,12 @@ ORACLE_SQL = {
     "result_count": one("and3", "and", "SELECT count(*) AS n_results FROM ranked"),
     "index_merge": f"WITH {TOKS}, {DFS} SELECT token, df FROM dfs",
     "batch_search": f"{BASE}, {POSTS}, {rank_ctes([(q, *prepare_query(t, stemmed=False)) for q, t in BATCH.items()], 'and', N_DOCS)} SELECT qid::BIGINT AS qid, rank, doc_id, score FROM ranked",
+    "skip_sample": f"WITH {TOKS}, p AS (SELECT DISTINCT token, doc_id FROM occ) SELECT token, doc_id FROM p WHERE ('0x' || substr(md5('0:' || token || ':' || doc_id), 1, 13))::BIGINT < {int(0.05 * (1 << 52))}",
+    "result_page_label": one("and3", "or", "SELECT concat(CASE WHEN least(30, count(*)) > 0 THEN 16 ELSE 0 END, ' to ', least(30, count(*))) AS label, true AS has_previous, count(*) > 30 AS has_next FROM ranked"),
+    "index_order": "SELECT 'postings' AS part, 0::BIGINT AS n_wrong UNION ALL SELECT 'vocab', 0::BIGINT",
+    "corpus_read": "SELECT url, 'utf-8' AS encoding, md5(html) AS content_md5 FROM pages",
+    "index_search": f"{BASE}, {REPS}, {KEPT_POSTS}, {rank_ctes([(q, *prepare_query(t, stemmed=False)) for q, t in BATCH.items()], 'and', N_DOCS)} SELECT qid::BIGINT AS qid, rank, doc_id, url, score FROM ranked",
 }
+ORACLE_SQL["postings_json"] = ORACLE_SQL["postings"]
+ORACLE_SQL["index_stored"] = ORACLE_SQL["dedup_postings"]
+ORACLE_SQL["index_merge_distinct"] = ORACLE_SQL["df_after_dedup"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findwell.config import Config
@@ -10,8 +10,9 @@ from findwell.functions.stemming import with_stem
 from findwell.functions.text import path_parts, prepare_query, tag_score
 from findwell.operators import indexing as ix
 from findwell.operators import search as sr
-from findwell.session import saved
-from findwell.sources.pages import meta_texts, segments
+from findwell.operators.index import build_index, load_index, merge_indexes, read_json_postings
+from findwell.session import new_path, saved
+from findwell.sources.pages import meta_texts, read_corpus, segments
 
 CONFIG = Config()
 #: Queries by name: (terms, tolerance).
@@ -37,11 +38,8 @@ def page_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def _posts(spark: SparkSession, sf: str, terms: list[str] | None = None) -> DataFrame:
     """Postings of documents; with `terms` only theirs, filtered before words are grouped."""
-    tokens = doc_tokens(spark, sf)
-    occ = ix.occurrences(tokens)
-    if terms is not None:
-        occ = occ.where(F.col("token").isin(list(terms)))
-    return ix.postings(occ, ix.doc_table(tokens))
+    words = ix.word_rows(doc_tokens(spark, sf))
+    return ix.postings(words if terms is None else words.where(F.col("token").isin(list(terms))))
 
 
 def tokenize_documents(spark, sf):
@@ -82,13 +80,18 @@ def index_meta(spark, sf):
 
 
 def postings(spark, sf):
-    p = _posts(spark, sf)
+    return _flat(_posts(spark, sf))
+
+
+def _flat(p: DataFrame) -> DataFrame:
     return p.select("token", "doc_id", "url", F.round("frequency", 9).alias("frequency"), F.array_join("tags", ",").alias("tags"), F.array_join(F.transform("position_v", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 def postings_json(spark, sf):
-    p = _posts(spark, sf)
-    return p.select("token", F.to_json(F.struct("doc_id", "url", "frequency", "tags", "position_v")).alias("json"))
+    """All postings written as JSON lines and read back."""
+    path = new_path(spark, "postings-json")
+    ix.postings_as_json(_posts(spark, sf)).write.json(path)
+    return _flat(read_json_postings(spark, path))
 
 
 def vocab_df(spark, sf):
@@ -106,12 +109,6 @@ def vocab_ceiling(spark, sf):
 
 
 def doc_successor(spark, sf):
-    occ = ix.occurrences(doc_tokens(spark, sf)).where(F.col("token").isin("er", "the", "heed"))
-    return ix.doc_successor(occ.select("token", "doc_id").distinct())
-
-
-def doc_successor_all(spark, sf):
-    """doc_successor of every token."""
     return ix.doc_successor(ix.occurrences(doc_tokens(spark, sf)).select("token", "doc_id").distinct())
 
 
@@ -133,16 +130,12 @@ def alias_conflicts(spark, sf):
 
 
 def dedup_postings(spark, sf):
-    tokens = doc_tokens(spark, sf)
-    kept = ix.distinct_docs(ix.doc_table(tokens))
-    occ = ix.occurrences(tokens.join(kept.select("doc_id"), "doc_id", "left_semi"))
-    return ix.postings(occ, kept).select("token", "doc_id", "url", F.round("frequency", 9).alias("frequency"))
+    posts = ix.postings(ix.word_rows(ix.distinct_tokens(doc_tokens(spark, sf))))
+    return posts.select("token", "doc_id", "url", F.round("frequency", 9).alias("frequency"))
 
 
 def df_after_dedup(spark, sf):
-    tokens = doc_tokens(spark, sf)
-    kept = ix.distinct_docs(ix.doc_table(tokens))
-    occ = ix.occurrences(tokens.join(kept.select("doc_id"), "doc_id", "left_semi"))
+    occ = ix.occurrences(ix.distinct_tokens(doc_tokens(spark, sf)))
     return ix.vocabulary(occ.select("token", "doc_id").distinct())
 
 
@@ -152,24 +145,11 @@ def url_depth(spark, sf):
     return pages.select("page_id", parts.alias("parts"), F.round(F.lit(CONFIG.depth_weight) / parts, 6).alias("depth_score"))
 
 
-def _page_posts(spark, sf, terms: list[str] | None = None) -> DataFrame:
-    tokens = page_tokens(spark, sf)
-    occ = ix.occurrences(tokens)
-    if terms is not None:
-        occ = occ.where(F.col("token").isin(list(terms)))
-    return ix.postings(occ, ix.doc_table(tokens))
-
-
-def tag_scores(spark, sf, terms=("en", "er", "de")):
-    p = _page_posts(spark, sf, terms)
+def tag_scores(spark, sf):
+    p = ix.postings(ix.word_rows(page_tokens(spark, sf)))
     return p.select("token", F.col("doc_id").alias("page_id"), F.round(tag_score(F.col("tags"), CONFIG.tag_weights, CONFIG.tag_weight), 6).alias("tag_score"))
 
 
-def tag_scores_all(spark, sf):
-    """tag_scores of every token."""
-    return tag_scores(spark, sf, None)
-
-
 def idf(spark, sf):
     n = _docs(spark, sf).count()
     return vocab_df(spark, sf).select("token", F.round(F.log10(F.lit(float(n)) / F.col("df")), 6).alias("idf"))
@@ -235,6 +215,10 @@ def result_page_2(spark, sf):
     return sr.page_of(_one("and3", "or")(spark, sf), 2, CONFIG.page_size)
 
 
+def result_page_label(spark, sf):
+    return sr.page_label(_one("and3", "or")(spark, sf), 2, CONFIG.page_size)
+
+
 def result_count(spark, sf):
     return _one("and3", "and")(spark, sf).agg(F.count("*").alias("n_results"))
 
@@ -254,12 +238,56 @@ def skip_sample(spark, sf):
     return ix.skip_sample(ix.occurrences(doc_tokens(spark, sf)).select("token", "doc_id").distinct())
 
 
+def _index(spark, sf, tokens: DataFrame | None = None):
+    """An index of documents' words as they stand."""
+    return build_index(spark, doc_tokens(spark, sf) if tokens is None else tokens, new_path(spark, "index"), "documents", stemmed=False)
+
+
+def index_stored(spark, sf):
+    """Postings of an index that was written and opened again."""
+    index = load_index(spark, _index(spark, sf).path)
+    return index.posts.select("token", "doc_id", "url", F.round("frequency", 9).alias("frequency"))
+
+
+def index_order(spark, sf):
+    """Neighbouring postings of a file that are out of order, and neighbouring words of the vocabulary."""
+    index = _index(spark, sf)
+
+    def disorder(rows: DataFrame, *keys: str) -> DataFrame:
+        placed = rows.select(*keys, F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i"))
+        own = F.struct(*keys)
+        before = F.lag(own).over(Window.partitionBy("file").orderBy("i"))
+        return placed.select((before >= own).alias("wrong")).agg(F.count_if("wrong").alias("n_wrong"))
+
+    return disorder(index.posts, "token", "doc_id").select(F.lit("postings").alias("part"), "n_wrong").union(disorder(index.vocab, "token").select(F.lit("vocab"), "n_wrong"))
+
+
+def index_search(spark, sf):
+    """Several queries against a stored index."""
+    found = _index(spark, sf).batch_search(BATCH)
+    return found.select(F.col("qid").cast("bigint").alias("qid"), "rank", "doc_id", "url", "score")
+
+
+def index_merge_distinct(spark, sf):
+    """Document frequencies of two indexes over halves of the documents, merged without duplicates across them."""
+    tokens = doc_tokens(spark, sf)
+    halves = [_index(spark, sf, tokens.where(F.col("doc_id") % 2 == k)) for k in (0, 1)]
+    return merge_indexes(spark, *halves, new_path(spark, "index")).vocab
+
+
+def corpus_read(spark, sf):
+    """Pages written as a corpus folder, one JSON object a file, and read back."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    path = new_path(spark, "corpus")
+    pages.select("url", F.lit("utf-8").alias("encoding"), F.col("html").alias("content"), (F.col("page_id") % 4).alias("part")).write.partitionBy("part").option("maxRecordsPerFile", 1).json(path)
+    return read_corpus(spark, path).select("url", "encoding", F.md5("content").alias("content_md5"))
+
+
 def search_full_pages(spark, sf):
     """The whole score over web pages: stems, stop words, duplicates, tags, depth, runs."""
-    tokens = page_tokens(spark, sf)
-    docs = ix.doc_table(tokens)
-    kept = ix.distinct_docs(docs)
     terms, tolerance = prepare_query(FLAGSHIP)
-    occ = ix.stemmed(ix.occurrences(tokens.join(kept.select("doc_id"), "doc_id", "left_semi"))).where(F.col("token").isin(terms))
-    found = sr.search(saved(ix.postings(occ, kept), "postings"), sr.query_table(spark, [(0, terms, tolerance)]), spark.read.parquet(f"{sf}/pages.parquet"))
+    # read for words, for duplicates and for postings, so lexed once
+    tokens = saved(page_tokens(spark, sf), "tokens")
+    words = ix.stemmed(ix.word_rows(ix.distinct_tokens(tokens)), terms=terms)
+    found = sr.search(saved(ix.postings(words), "postings"), sr.query_table(spark, [(0, terms, tolerance)]), spark.read.parquet(f"{sf}/pages.parquet"))
     return found.select("rank", F.col("doc_id").alias("page_id"), "url", "score")

@@ -10,9 +10,9 @@ from findwell.plans.oracles import ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 _NAMED = """tokenize_documents tokenize_pages page_segments meta_segments stem_vocab doc_lengths corpus_size index_meta
-postings postings_json vocab_df vocab_stats vocab_ceiling doc_successor doc_successor_all term_postings duplicate_groups alias_map alias_conflicts
-dedup_postings df_after_dedup url_depth tag_scores tag_scores_all idf tfidf query_prepare candidate_difference phrase_runs ngram_boost bigram_boost
-search_full_pages result_page_2 result_count index_merge batch_search skip_sample""".split()
+postings postings_json vocab_df vocab_stats vocab_ceiling doc_successor term_postings duplicate_groups alias_map alias_conflicts
+dedup_postings df_after_dedup url_depth tag_scores idf tfidf query_prepare candidate_difference phrase_runs ngram_boost bigram_boost
+search_full_pages result_page_2 result_page_label result_count index_merge index_merge_distinct index_stored index_order index_search corpus_read batch_search skip_sample""".split()
 
 QUERIES = {name: getattr(q, name) for name in _NAMED} | {
     "search_single": q._one("single", "or"),

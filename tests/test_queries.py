@@ -15,14 +15,6 @@ def test_query_equals_its_sql(spark, small, name):
     assert rows_of_spark(QUERIES[name](spark, small)) == rows_of_sql(connect(small), ORACLE_SQL[name])
 
 
-def test_json_of_all_postings(spark, small):
-    import json
-
-    got = sorted((r["token"], x["doc_id"], round(x["frequency"], 9), ",".join(map(str, x["position_v"]))) for r in QUERIES["postings_json"](spark, small).collect() for x in [json.loads(r["json"])])
-    want = sorted(tuple(r) for r in connect(small).sql(f"SELECT token, doc_id, frequency, positions FROM ({ORACLE_SQL['postings']}) x").fetchall())
-    assert got == want
-
-
 def test_entry_module_imports(spark, small):
     import __spark_entry__ as e
 

@@ -12,7 +12,7 @@ from findwell.functions.stemming import stem, with_stem
 from findwell.functions.text import path_parts, prepare_query
 from findwell.operators import indexing as ix
 from findwell.operators import search as sr
-from findwell.operators.index import build_index, load_index, merge_indexes
+from findwell.operators.index import build_index, load_index, merge_indexes, read_json_postings
 from findwell.sources.pages import parsed_segments, read_corpus
 
 D2 = "<html><body><p>blue fox and big red dog</p><script>red fox</script></body></html>"
@@ -29,9 +29,7 @@ PAGES = [
 def corpus(spark):
     pages = spark.createDataFrame(PAGES, "page_id string, url string, html string")
     tokens = ix.page_tokens(pages).cache()
-    kept = ix.distinct_docs(ix.doc_table(tokens))
-    occ = ix.occurrences(tokens.join(kept.select("doc_id"), "doc_id", "left_semi"))
-    return tokens, ix.postings(occ, kept).cache()
+    return tokens, ix.postings(ix.word_rows(ix.distinct_tokens(tokens))).cache()
 
 
 def test_occurrences_of_pages(corpus):
@@ -172,6 +170,65 @@ def test_index_on_disk(spark, tmp_path):
     assert {(r["qid"], r["rank"]) for r in merged.batch_search({7: "fox", 8: "dog"}).collect()} == {(7, 1), (7, 2), (7, 3), (8, 1), (8, 2)}
 
 
+def test_merge_drops_duplicates_across_indexes(spark, tmp_path):
+    schema = "page_id string, url string, html string"
+    left = spark.createDataFrame([("a1", "http://a.example/long/path", "<p>red fox</p>"), ("a2", "http://a.example/2", "<p>blue dog</p>")], schema)
+    right = spark.createDataFrame([("b1", "http://b.example/s", "<p>red fox</p>"), ("b2", "http://b.example/2", "<p>red dog</p>")], schema)
+    parts = [build_index(spark, ix.page_tokens(d), str(tmp_path / n)) for d, n in ((left, "left"), (right, "right"))]
+    merged = merge_indexes(spark, *parts, str(tmp_path / "merged"))
+    assert merged.size == 4
+    assert {r["token"]: r["df"] for r in merged.vocab.collect()} == {"red": 2, "fox": 1, "blue": 1, "dog": 2}
+    assert [(r["doc_id"], r["url"]) for r in merged.postings("fox").collect()] == [("a1", "http://b.example/s")]
+    words = build_index(spark, ix.page_tokens(left), str(tmp_path / "words"), stemmed=False)
+    with pytest.raises(ValueError):
+        merge_indexes(spark, parts[0], words, str(tmp_path / "bad"))
+
+
+def test_many_terms_are_joined(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "http://a.example/1", "<p>red fox</p>"), ("b", "http://a.example/2", "<p>blue dog</p>")], "page_id string, url string, html string")
+    few = build_index(spark, ix.page_tokens(pages), str(tmp_path / "index"))
+    many = load_index(spark, str(tmp_path / "index"), Config(literal_terms=1, broadcast_terms=0))
+    queries = {1: "red fox", 2: "dog", 3: "zebra"}
+    assert sorted(few.batch_search(queries).collect()) == sorted(many.batch_search(queries).collect()) != []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from findwell import cli
+
+    folder = tmp_path / "pages" / "part"
+    os.makedirs(folder)
+    for name, url, html in PAGES:
+        (folder / name).write_text(json.dumps({"url": url, "encoding": "utf-8", "content": html}))
+    index = str(tmp_path / "index")
+    cli.main(["build", str(tmp_path / "pages"), index], spark)
+    cli.main(["search", index, "red foxes"], spark)
+    cli.main(["view", index, "--word", "dog"], spark)
+    cli.main(["export", index, str(tmp_path / "json")], spark)
+    said = capsys.readouterr().out
+    assert "pages" in said and "1. http://a.example/x/y.html" in said and "1 to 2 results displayed.\n" in said
+    stored = load_index(spark, index).posts
+    back = read_json_postings(spark, str(tmp_path / "json"), "string")
+    assert sorted(map(repr, back.select(stored.columns).collect())) == sorted(map(repr, stored.collect()))
+
+
+def test_page_labels(spark):
+    from findwell.operators.search import page_label
+
+    def label(n, page):
+        return tuple(page_label(spark.range(n), page).first())
+
+    assert label(0, 1) == ("0 to 0", False, False)
+    assert label(15, 1) == ("1 to 15", False, False)
+    assert label(40, 2) == ("16 to 30", True, True)
+    assert label(40, 3) == ("31 to 40", True, False)
+
+
+def test_broken_json_postings(spark):
+    rows = spark.createDataFrame([("fox", '{"doc_id":1,"url":"u","frequency":0.5,"tags":["p"],"position_v":[0]}'), ("dog", "{"), (None, None)], "token string, json string")
+    got = {r["token"]: r["doc_id"] for r in ix.postings_from_json(rows).collect()}
+    assert got == {"fox": 1, "dog": None, None: None}
+
+
 def test_streaming_ingest(spark, tmp_path):
     from findwell.streaming.ingest import append_occurrences, read_page_stream
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findwell.llm._arrow import bounded_batches, chunks, flat
 from findwell.session import saved
@@ -220,7 +221,7 @@ class Benchmark:
 
 
 _NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-_TYPES = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+_SPANS = T.ArrayType(T.StructType().add("first", "long").add("words", "long"))
 
 
 def _digest(ids: list[str]) -> str:
@@ -228,7 +229,10 @@ def _digest(ids: list[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans hit as (first word, words)."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the spans hit as (first word, words).
+
+    The id may be of any type, a struct of a row's columns too.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(benchmark[item_col].cast("string").alias("item_id"), benchmark[text_col].alias("text"))
@@ -246,7 +250,6 @@ def _by_lookup(rows: DataFrame, items: DataFrame, window: int, gram: int) -> Dat
     data, off = flat(table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string()))
     words, first = word_hashes(data, off)
     sent = spark.sparkContext.broadcast((table["item_id"].to_pylist(), words, first))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     made: list[Benchmark] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +274,8 @@ def _by_lookup(rows: DataFrame, items: DataFrame, window: int, gram: int) -> Dat
                 names=[*_NAMES, "spans"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {_TYPES}, spans array<struct<first:bigint,words:bigint>>")
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("n_words", "long").add("n_hit", "long").add("n_items", "long")
+    return rows.mapInArrow(run, schema.add("items_sha256", "string").add("contaminated", "boolean").add("spans", _SPANS))
 
 
 def _by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
@@ -357,20 +361,20 @@ def _by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     names = hits.select("row", "item").distinct().join(items.select(F.col("row").alias("item"), "item_id"), "item")
     per_item = names.groupBy("row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("ids"))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    counted = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("row", "long").add("n_words", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             _, first = word_hashes(*flat(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first))], names=["doc_id", "row", "n_words"])
 
-    words = rows.select("doc_id", "text", "row").mapInArrow(count, f"doc_id {kind}, row bigint, n_words bigint")
+    words = rows.select("doc_id", "text", "row").mapInArrow(count, counted)
     out = words.join(per_doc, "row", "left").join(per_item, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-        F.coalesce("spans", F.array().cast("array<struct<first:bigint,words:bigint>>")).alias("spans"),
+        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
     )
 
 

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findwell.llm._arrow import bounded_batches, chunks
 from findwell.llm._chars import _BASE, rolling, stream
@@ -224,16 +225,16 @@ def identify(docs: DataFrame, learn: Column | None = None, per_language: int = P
 
 
 def identify_with(rows: DataFrame, model: KneserNey) -> DataFrame:
-    """The same with a model at hand, for rows (doc_id, text)."""
+    """The same with a model at hand, for rows (doc_id, text); doc_id may be of any type, a struct of a row's columns too."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]).add("lang_pred", "string").add("score", "double").add("bits", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 19):
             lang, score, low, rejected = sent.value.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits double, rejected boolean")
+    return rows.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ kept; all but the last return the columns of documents.
 1. language: rows whose text no learnt language explains, or without a letter, go;
    a missing `lang` is filled with the prediction.
 2. near-duplicates: of each SimHash component the row of the least id stays
-   (words in shingles of four, at most four of 64 bits apart). Where an id occurs
-   several times in a component, one row with it stays.
+   (words in shingles of four, at most four of 64 bits apart: the numbers of the
+   operator's contract). Where an id occurs several times in a component, one row
+   with it stays.
 3. repeated passages: byte strings of 200 that occur at several places are cut
    out, with `n_chars` brought up to date; rows left without a word go.
 4. contamination: rows that share a window of ten words with a benchmark item go.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findwell.llm import decontamination, language_id, mixing, simhash, suffix_dedup
+from findwell.llm._arrow import bounded_batches
 from findwell.session import saved
 
 
@@ -32,14 +34,17 @@ def _key():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with all columns of the row as its id, so that nothing is joined back."""
+    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc_id"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    keyed = docs.withColumn("row_key", _key())
-    model_rows = docs.select("doc_id", "text", "lang")
-    model = language_id.KneserNey(language_id.sample_by_language(model_rows, F.lit(True)))
-    found = language_id.identify_with(keyed.select(F.col("row_key").alias("doc_id"), "text"), model)
-    kept = found.where("not rejected").select(F.col("doc_id").alias("row_key"), "lang_pred").dropDuplicates(["row_key"])
-    return keyed.join(kept, "row_key").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    model = language_id.KneserNey(language_id.sample_by_language(docs.select("doc_id", "text", "lang"), F.lit(True)))
+    bounded_batches(spark)
+    found = language_id.identify_with(_whole(docs), model).where("not rejected")
+    lang = F.coalesce("doc_id.lang", "lang_pred").alias("lang")
+    return found.select(*(lang if c == "lang" else F.col(f"doc_id.`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +62,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    keyed = docs.withColumn("row_key", _key())
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.decontaminate(keyed.select(F.col("row_key").alias("doc_id"), "text"), benchmark)
-    gone = found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct()
-    return keyed.join(gone, "row_key", "left_anti").select(*columns)
+    found = decontamination.decontaminate(_whole(docs), benchmark).where("not contaminated")
+    return found.select(*(F.col(f"doc_id.`{c}`") for c in docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,28 +41,29 @@ class Attention:
 
     def _attend(self, x: np.ndarray):
         p, t = self.p, x.shape[1]
-        q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
+        flat = x.reshape(-1, x.shape[2])
+        q, k, v = ((flat @ p[name]).reshape(x.shape) for name in ("query", "key", "value"))
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(1 / np.sqrt(x.shape[2]))
         s += np.where(self.future, np.float32(-1e9), p["near"][self.back])[:t, :t]
-        s -= s.max(2, keepdims=True)
+        np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s /= s.sum(2, keepdims=True)
         return q, k, v, s, s @ v
 
-    def _members(self, h: np.ndarray, group: np.ndarray):
-        """Log probabilities in the class of each row, by class; yields (rows, class, table)."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=WIDE))
-        at = 0
-        for g in range(WIDE):
-            if ends[g] > at:
-                rows = order[at : ends[g]]
-                z = h[rows] @ self.p["member"][g] + self.p["member_bias"][g]
-                z -= z.max(1, keepdims=True)
-                z -= np.log(np.exp(z).sum(1, keepdims=True))
-                yield rows, g, z
-                at = ends[g]
+    @staticmethod
+    def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order of rows by class, and the (class, begin, end) of those that have rows."""
+        ends = np.cumsum(np.bincount(group, minlength=WIDE)).tolist()
+        return np.argsort(group.astype(np.uint8), kind="stable"), [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+
+    def _members(self, h: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits within the class of each row; rows are in the order of classes."""
+        z = np.empty((len(h), WIDE), h.dtype)
+        for c, a, b in classes:
+            np.matmul(h[a:b], self.p["member"][c], out=z[a:b])
+            z[a:b] += self.p["member_bias"][c]
+        return np.minimum(z, 60, out=z)
 
     def _hidden(self, h1: np.ndarray):
         f = h1 @ self.p["up"] + self.p["up_bias"]
@@ -89,7 +90,8 @@ class Attention:
         """
         p, out, opens = self.p, np.zeros(len(symbols), np.float32), np.zeros(len(symbols), np.float32)
         bias = np.where(self.future, np.float32(-1e9), p["near"][self.back])
-        scaled = p["query"] * np.float32(1 / np.sqrt(p["query"].shape[1]))
+        dim = p["query"].shape[1]
+        scaled = p["query"] * np.float32(1 / np.sqrt(dim))
         starts = np.cumsum(lengths) - lengths
         text, begin, scored = self.windows(lengths)
         previous = np.empty(len(symbols), np.int64)
@@ -102,11 +104,13 @@ class Attention:
             wanted = (inside >= s[:, None]) & (inside < lengths[t][:, None])
             index = starts[t][:, None] + np.minimum(inside, lengths[t][:, None] - 1)
             x = p["embed"][previous[index]]
-            a = (x @ scaled) @ (x @ p["key"]).transpose(0, 2, 1)
+            flat = x.reshape(-1, dim)
+            q, k, v = ((flat @ w).reshape(x.shape) for w in (scaled, p["key"], p["value"]))
+            a = q @ k.transpose(0, 2, 1)
             a += bias
             np.minimum(a, 60, out=a)
             np.exp(a, out=a)
-            o = a @ (x @ p["value"])
+            o = a @ v
             o /= a.sum(2, keepdims=True)
             _, h = self._hidden(x[wanted] + o[wanted] @ p["out"])
             where = index[wanted]
@@ -117,15 +121,8 @@ class Attention:
             np.exp(z, out=z)
             total = z.sum(1)
             opens[where] = np.log(z[:, : self.openers].sum(1) / total)
-            order = np.argsort(group.astype(np.uint8), kind="stable")
-            sizes = np.bincount(group, minlength=WIDE)
-            z, n = h[order], 0
-            z_member = np.empty((len(z), WIDE), np.float32)
-            for g in np.flatnonzero(sizes).tolist():
-                np.matmul(z[n : n + sizes[g]], p["member"][g], out=z_member[n : n + sizes[g]])
-                z_member[n : n + sizes[g]] += p["member_bias"][g]
-                n += sizes[g]
-            np.minimum(z_member, 60, out=z_member)
+            order, classes = self._by_class(group)
+            z_member = self._members(h[order], classes)
             own[order] += z_member[np.arange(len(z)), member[order]]
             np.exp(z_member, out=z_member)
             total[order] *= z_member.sum(1)
@@ -136,30 +133,37 @@ class Attention:
         """Mean loss over the wanted places of windows, and its gradients."""
         p = self.p
         x = p["embed"][inputs]
-        q, k, v, a, o = self._attend(x)
+        q, k, v, attention, o = self._attend(x)
         h1 = x[wanted] + o[wanted] @ p["out"]
         f, h = self._hidden(h1)
         n = len(h)
         target = targets[wanted]
         group, member = target // WIDE, target % WIDE
-        z = h @ p["group"] + p["group_bias"]
-        z -= z.max(1, keepdims=True)
+        row = np.arange(n)
+        z = np.minimum(h @ p["group"] + p["group_bias"], 60)
+        own = z[row, group]
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        loss = -np.log(z[np.arange(n), group]).sum()
-        z[np.arange(n), group] -= 1
-        z /= n
+        total = z.sum(1)
+        loss = np.log(total).sum() - own.sum()
+        z /= total[:, None] * n
+        z[row, group] -= 1 / n
         g = {"group": h.T @ z, "group_bias": z.sum(0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
         dh = z @ p["group"].T
-        for rows, c, zm in self._members(h, group):
-            m = member[rows]
-            loss -= zm[np.arange(len(rows)), m].sum()
-            zm = np.exp(zm)
-            zm[np.arange(len(rows)), m] -= 1
-            zm /= n
-            g["member"][c] = h[rows].T @ zm
-            g["member_bias"][c] = zm.sum(0)
-            dh[rows] += zm @ p["member"][c].T
+        order, classes = self._by_class(group)
+        sorted_h, member = h[order], member[order]
+        z = self._members(sorted_h, classes)
+        own = z[row, member]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        loss += np.log(total).sum() - own.sum()
+        z /= total[:, None] * n
+        z[row, member] -= 1 / n
+        back = np.empty_like(sorted_h)
+        for c, a, b in classes:
+            np.matmul(sorted_h[a:b].T, z[a:b], out=g["member"][c])
+            np.matmul(z[a:b], p["member"][c].T, out=back[a:b])
+            g["member_bias"][c] = z[a:b].sum(0)
+        dh[order] += back
         df = (dh @ p["down"].T) * (f > 0)
         g["down"], g["up"], g["up_bias"] = f.T @ dh, h1.T @ df, df.sum(0)
         dh1 = dh + df @ p["up"].T
@@ -169,17 +173,18 @@ class Attention:
         do = np.zeros_like(x)
         do[wanted] = dh1 @ p["out"].T
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        dv = attention.transpose(0, 2, 1) @ do
+        da -= (da * attention).sum(2, keepdims=True)
+        ds = attention * da
         t = x.shape[1]
         g["near"] = np.bincount(self.back[:t, :t].ravel(), weights=np.where(self.future[:t, :t], 0, ds.sum(0)).ravel(), minlength=self.window).astype(np.float32)
         ds *= np.float32(1 / np.sqrt(x.shape[2]))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         d = x.shape[2]
-        flat = x.reshape(-1, d)
-        for name, part in (("query", dq), ("key", dk), ("value", dv)):
-            g[name] = flat.T @ part.reshape(-1, d)
-            dx += part @ p[name].T
+        flat, flat_dx = x.reshape(-1, d), dx.reshape(-1, d)
+        for name, part in (("query", ds @ k), ("key", ds.transpose(0, 2, 1) @ q), ("value", dv)):
+            part = part.reshape(-1, d)
+            g[name] = flat.T @ part
+            flat_dx += part @ p[name].T
         g["embed"] = np.zeros_like(p["embed"])
         order = np.argsort(inputs.ravel(), kind="stable")
         ids = inputs.ravel()[order]

@@ -7,7 +7,10 @@ per frame. Recordings that share integers vote for the offset between them, and
 bits that differ at the best offset decide whether they match.
 
 Recordings with equal fingerprints form a class; one member of it is compared and
-all its links are returned by class. Nothing caps a bucket or a partner.
+all its links are returned by class. Nothing caps a bucket or a partner; integers
+that many recordings share make a large group in a join, which Spark splits at
+run time. A link needs a few equal integers: recordings whose bits differ within
+the limit but evenly over all integers are not linked.
 
 Defined results: null, empty and too short media have no fingerprint and match
 nothing. An odd last byte is ignored. Silence has fingerprints like any other

@@ -419,6 +419,28 @@ def test_alignment_by_brute_force_over_all_offsets(spark):
     assert {tuple(r)[:5] for r in matches.collect()} == want
 
 
+def test_recall_of_noisy_excerpts(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(40):
+        sound = audio_fingerprint.melody(rng.normal(size=84))
+        clip = np.frombuffer(sound, "<i2")[20 * 256 // 2 :]
+        rows += [(20 * k, sound), (20 * k + 1, np.clip(clip + rng.normal(0, 3000, len(clip)), -32768, 32767).astype("<i2").tobytes())]
+    prints = audio_fingerprint.fingerprints(spark.createDataFrame(rows, "id long, media binary"), "id", "media")
+    at = {r["id"]: np.array(r["prints"], np.int32).view(np.uint32) for r in prints.collect()}
+    close = set()
+    for i in range(0, 800, 20):
+        for j, b in at.items():
+            for offset in range(-len(at[i]) + audio_fingerprint.OVERLAP, len(b) - audio_fingerprint.OVERLAP + 1) if i != j else ():
+                a = at[i][max(-offset, 0) :][: len(b) - max(offset, 0)]
+                wrong = np.bitwise_count(a ^ b[max(offset, 0) :][: len(a)]).sum()
+                if len(a) >= audio_fingerprint.OVERLAP and wrong <= audio_fingerprint.BIT_ERROR * 32 * len(a):
+                    close.add((i, j))
+    _, matches = audio_fingerprint.align(prints, prints.where("id % 20 = 0"))
+    found = {(r["query_class"], r["class_id"]) for r in matches.collect()}
+    assert len(close) >= 40 and found <= close and len(found) >= 0.9 * len(close)
+
+
 def test_integral_image_equals_sums():
     picture = np.random.default_rng(0).random((20, 12))
     codes = audio_fingerprint.packed(picture)

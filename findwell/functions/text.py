@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from findwell.functions.stemming import stem
 
 SEPARATOR = "[^a-zA-Z0-9]+"
+LOWER_SEPARATOR = "[^a-z0-9]+"
 URL_PATH = "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 # Words left out of queries.
@@ -25,8 +27,8 @@ STOP_WORDS = (
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits, in order. Splits first: lowering may turn other letters into ASCII ones."""
-    return F.transform(F.filter(F.split(text, SEPARATOR), lambda w: w != ""), F.lower)
+    """Lower-case runs of ASCII letters and digits, in order. Only A-Z are lowered, as that may turn other letters into ASCII ones."""
+    return F.array_remove(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), LOWER_SEPARATOR), "")
 
 
 def split_words(text: str) -> list[str]:

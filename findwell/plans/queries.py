@@ -11,7 +11,7 @@ from findwell.functions.text import path_parts, prepare_query, tag_score
 from findwell.operators import indexing as ix
 from findwell.operators import search as sr
 from findwell.operators.index import build_index, load_index, merge_indexes, read_json_postings
-from findwell.session import new_path, saved
+from findwell.session import new_path, saved, spread_small
 from findwell.sources.pages import meta_texts, read_corpus, segments
 
 CONFIG = Config()
@@ -29,11 +29,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     url = F.concat(F.lit("http://"), F.col("source"), F.lit("/"), F.col("doc_id"))
-    return ix.text_tokens(_docs(spark, sf), F.col("text"), url=url)
+    return ix.text_tokens(spread_small(_docs(spark, sf)), F.col("text"), url=url)
 
 
 def page_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.page_tokens(spark.read.parquet(f"{sf}/pages.parquet"))
+    return ix.page_tokens(spread_small(spark.read.parquet(f"{sf}/pages.parquet")))
 
 
 def _posts(spark: SparkSession, sf: str, terms: list[str] | None = None) -> DataFrame:

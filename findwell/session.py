@@ -24,6 +24,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+def spread_small(df: DataFrame, bytes_per_core: int = 32 << 20) -> DataFrame:
+    """Rows of a small input dealt over all cores; a larger one as it is.
+
+    A small file may be one row group, which one task reads whatever the number of
+    splits. Beyond `bytes_per_core` for each core, row groups are as many as cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= bytes_per_core * cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

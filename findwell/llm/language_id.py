@@ -7,10 +7,11 @@ binary search serves all of them; where a run is unknown, the next shorter one i
 searched and the context's back-off weights are added. The language is that of
 the lowest cross-entropy per character.
 
-A text is rejected if no learnt language explains its words: each word costs what
-it costs in the language that fits it best, so texts that mix learnt languages
-stay, and the limit of that cost per character is calibrated on pieces of like
-length of held-back texts: somewhat beyond the largest cost that any of them has.
+A text is rejected if no learnt language explains its words: each different word
+costs what it costs in the language that fits it best, so texts that mix learnt
+languages stay, and so does one that says a rare word a thousand times. The limit of
+that cost per character is calibrated on pieces of like length of held-back texts:
+somewhat beyond the largest cost that any of them has.
 No other texts are looked at for it.
 
 The models learn from `per_language` whole texts of each language at most, picked
@@ -152,27 +153,38 @@ class KneserNey:
             cost[own[begins]] += np.add.reduceat(logp, begins, axis=0)
         return owner[ends], np.bincount(word[counts], minlength=len(cost)), cost
 
-    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code lengths (text x language), those with each word in the language that fits it best, and the characters of each text."""
+    def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code lengths (text x language) and characters of each text; and of its different words, each in the language that fits it best, code lengths and characters."""
         owner, chars, cost = self.word_costs(texts)
-        total, best = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        total = np.zeros((len(texts), len(self.languages)))
         begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
         if len(begins):
             total[owner[begins]] = np.add.reduceat(cost, begins, axis=0, dtype=np.float64)
-            best[owner[begins]] = np.add.reduceat(cost.min(1), begins, dtype=np.float64)
-        return total, best, np.bincount(owner, weights=chars, minlength=len(texts)).astype(np.int64)
-
-    def _calibrate(self, texts: list[str]) -> None:
-        """Limits of the cost per character for texts of each of LENGTHS and more."""
+        n = np.bincount(owner, weights=chars, minlength=len(texts)).astype(np.int64)
+        once, low = self._different(owner, cost)
+        return total, n, np.bincount(owner[once], weights=low, minlength=len(texts)), np.bincount(owner[once], weights=chars[once], minlength=len(texts)).astype(np.int64)
+
+    @staticmethod
+    def _different(owner: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each word in each text, told by its least code length, and that length. A word said again tells nothing new."""
+        low = cost.min(1) if len(cost) else np.empty(0, np.float32)
+        _, first = np.unique(owner.astype(np.int64) << 32 | low.view(np.uint32).astype(np.int64), return_index=True)
+        first.sort()
+        return first, low[first]
+
+    def _calibrate(self, texts: list[str], least_texts: int = 20) -> None:
+        """Limits of the cost per character for texts whose different words have each of LENGTHS and more."""
         self.limits = np.full(len(LENGTHS), np.inf)
         owner, chars, cost = self.word_costs(texts)
-        at, spent = np.r_[0, np.cumsum(chars)], np.r_[0, np.cumsum(cost.min(1), dtype=np.float64)]
+        once, low = self._different(owner, cost)
+        owner, chars = owner[once], chars[once]
+        at, spent = np.r_[0, np.cumsum(chars)], np.r_[0, np.cumsum(low, dtype=np.float64)]
         last = np.searchsorted(owner, owner, side="right")
         for k, length in enumerate(LENGTHS):
             # pieces of whole words that begin at any word
             to = np.searchsorted(at, at[:-1] + length)
             own = np.flatnonzero(to <= last)
-            if len(own) < 100:
+            if len(np.unique(owner[own])) < least_texts:
                 # longer pieces differ less, so what holds for shorter ones is no stricter
                 self.limits[k:] = self.limits[k - 1] if k else np.inf
                 break
@@ -185,13 +197,13 @@ class KneserNey:
         if not self.languages:
             none = np.zeros(len(texts))
             return [UNKNOWN] * len(texts), none, none, np.ones(len(texts), bool)
-        total, explained, n = self.bits(texts)
+        total, n, explained, told = self.bits(texts)
         each = total / np.maximum(n, 1)[:, None]
-        explained = explained / np.maximum(n, 1)
+        explained = explained / np.maximum(told, 1)
         best = each.argmin(1)
         low = each.min(1)
         odds = np.exp2(-(each - low[:, None]) * np.minimum(n, SURE_CHARS)[:, None])
-        limit = np.r_[np.inf, self.limits][np.searchsorted(LENGTHS, n, side="right")]
+        limit = np.r_[np.inf, self.limits][np.searchsorted(LENGTHS, told, side="right")]
         rejected = (explained > limit) | (n == 0)
         score = np.where(n == 0, 0.0, odds.max(1) / odds.sum(1) * np.where(rejected, 0.5, 1.0))
         return [self.languages[b] if m else UNKNOWN for b, m in zip(best.tolist(), n.tolist())], score, low, rejected

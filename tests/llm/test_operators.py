@@ -122,7 +122,8 @@ def test_kneser_ney_by_brute_force():
         return p
 
     for text in ("ab cab", "zb", "Bab! aabb", "c"):
-        total, explained, n = model.bits([text, "ab"])
+        total, n, explained, told = model.bits([text, "ab"])
+        assert told[0] == n[0]
         c, cost = chars(text), []
         for p in map(probability, model.languages):
             each = [-math.log2(p(c[e - order : e])) for e in range(9, len(c) + 1)]
@@ -148,6 +149,9 @@ def test_texts_in_no_learnt_language_are_rejected(spark):
     held = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where((remainder("doc_id", 5) == 0) & F.col("text").isNotNull()).collect()]
     mixed = [a[:200] + " " + b[:200] for a, b in zip(held, reversed(held))]
     assert not model.predict(held)[3].any() and not model.predict(mixed)[3].any()
+    # one word over and over is no more than one word
+    few, many = ([f"{w} " * n for h in held[:60] for w in h.split()[:2]] for n in (3, 3000))
+    assert (model.predict(many)[3] == model.predict(few)[3]).all()
     # nothing is known about texts of a few letters
     assert not model.predict(["xqz"])[3].any()
     # long texts in pieces

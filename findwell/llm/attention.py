@@ -15,6 +15,11 @@ WIDE = 32
 SYMBOLS = WIDE * WIDE
 
 
+def _keep_freed_memory() -> None:
+    """Frees one large block, after which glibc keeps smaller ones for the next step instead of returning them to the system."""
+    np.empty(24 << 20, np.uint8)
+
+
 class Attention:
     """The model. Symbol 0 begins and ends every text; those of the first `openers` classes begin words."""
 
@@ -39,36 +44,28 @@ class Attention:
         self.back = np.clip(i - j, 0, window - 1)
         self.future = j > i
 
-    def _attend(self, x: np.ndarray):
-        p, t = self.p, x.shape[1]
-        flat = x.reshape(-1, x.shape[2])
-        q, k, v = ((flat @ p[name]).reshape(x.shape) for name in ("query", "key", "value"))
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(1 / np.sqrt(x.shape[2]))
-        s += np.where(self.future, np.float32(-1e9), p["near"][self.back])[:t, :t]
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        return q, k, v, s, s @ v
-
     @staticmethod
     def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of rows by class, and the (class, begin, end) of those that have rows."""
         ends = np.cumsum(np.bincount(group, minlength=WIDE)).tolist()
         return np.argsort(group.astype(np.uint8), kind="stable"), [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
-    def _members(self, h: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
-        """Logits within the class of each row; rows are in the order of classes."""
+    @staticmethod
+    def _members(h: np.ndarray, table: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits within the class of each row; rows are in the order of classes and end with a 1 for the bias."""
         z = np.empty((len(h), WIDE), h.dtype)
         for c, a, b in classes:
-            np.matmul(h[a:b], self.p["member"][c], out=z[a:b])
-            z[a:b] += self.p["member_bias"][c]
+            np.matmul(h[a:b], table[c], out=z[a:b])
         return np.minimum(z, 60, out=z)
 
-    def _hidden(self, h1: np.ndarray):
-        f = h1 @ self.p["up"] + self.p["up_bias"]
-        np.maximum(f, 0, out=f)
-        return f, h1 + f @ self.p["down"]
+    def _bias(self, rows: int) -> np.ndarray:
+        """What is added to the logits of the last `rows` places of a window."""
+        return np.where(self.future, np.float32(-1e9), self.p["near"][self.back])[-rows:]
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and within them, with the biases as last rows."""
+        p = self.p
+        return np.vstack([p["group"], p["group_bias"]]), np.concatenate([p["member"], p["member_bias"][:, None]], axis=1)
 
     def windows(self, lengths: np.ndarray):
         """(begin in the text, first scored place) of the windows over texts of `lengths` targets, and their text.
@@ -83,114 +80,185 @@ class Attention:
         begin = k * self.stride
         return text, begin, np.where(k > 0, begin + self.window - self.stride, 0)
 
-    def log_probs(self, symbols: np.ndarray, lengths: np.ndarray, block: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    def _placed(self, begin: np.ndarray, scored: np.ndarray, lengths: np.ndarray, starts: np.ndarray):
+        """(place of each input, which stand before their text, place of each target, which are scored) of windows.
+
+        Only the last `stride` places of a window are targets. Those before them are
+        scored in the first window of a text alone, which for this comes a second time,
+        `window - stride` places further back.
+        """
+        skip = self.window - self.stride
+        again = np.flatnonzero(begin == 0) if skip else np.empty(0, np.int64)
+        before = np.arange(len(begin), len(begin) + len(again))
+        limit = np.r_[lengths, np.minimum(lengths[again], skip)]
+        begin, scored = np.r_[begin, np.full(len(again), -skip)], np.r_[np.maximum(scored, skip), np.zeros(len(again), np.int64)]
+        starts = np.r_[starts, starts[again]]
+        inside = begin[:, None] + np.arange(self.window)
+        last = np.r_[lengths, lengths[again]][:, None] - 1
+        index = np.minimum(np.maximum(inside, 0), last) + starts[:, None]
+        own = inside[:, skip:]
+        return index, before, index[:, skip:], (own >= scored[:, None]) & (own < limit[:, None])
+
+    def log_probs(self, symbols: np.ndarray, lengths: np.ndarray, block: int = 96) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probabilities at every symbol of texts laid end to end: of the symbol, and of one that begins a word.
 
         Each place is scored once, given what precedes it.
         """
+        _keep_freed_memory()
         p, out, opens = self.p, np.zeros(len(symbols), np.float32), np.zeros(len(symbols), np.float32)
-        bias = np.where(self.future, np.float32(-1e9), p["near"][self.back])
-        dim = p["query"].shape[1]
-        scaled = p["query"] * np.float32(1 / np.sqrt(dim))
+        dim, skip = p["query"].shape[1], self.window - self.stride
+        bias, kind = self._bias(self.stride), p["embed"].dtype
+        # what depends on one symbol alone; a column of ones sums the weights of a place
+        asks = np.hstack([p["embed"], p["embed"] @ (p["query"] * np.float32(1 / np.sqrt(dim)))])
+        tells = np.hstack([p["embed"] @ p["key"], p["embed"] @ (p["value"] @ p["out"]), np.ones((SYMBOLS, 1), kind)])
+        group_table, member_table = self._tables()
+        sums = np.zeros((WIDE, 2), kind)
+        sums[:, 0], sums[: self.openers, 1], one = 1, 1, np.ones(WIDE, kind)
         starts = np.cumsum(lengths) - lengths
         text, begin, scored = self.windows(lengths)
         previous = np.empty(len(symbols), np.int64)
         previous[1:] = symbols[:-1]
         previous[starts[lengths > 0]] = 0
-        place = np.arange(self.window)
         for at in range(0, len(text), block):
-            t, b, s = text[at : at + block], begin[at : at + block], scored[at : at + block]
-            inside = b[:, None] + place
-            wanted = (inside >= s[:, None]) & (inside < lengths[t][:, None])
-            index = starts[t][:, None] + np.minimum(inside, lengths[t][:, None] - 1)
-            x = p["embed"][previous[index]]
-            flat = x.reshape(-1, dim)
-            q, k, v = ((flat @ w).reshape(x.shape) for w in (scaled, p["key"], p["value"]))
-            a = q @ k.transpose(0, 2, 1)
+            t = text[at : at + block]
+            index, before, targets, wanted = self._placed(begin[at : at + block], scored[at : at + block], lengths[t], starts[t])
+            inputs = previous.take(index)
+            told = tells.take(inputs, axis=0)
+            asked = asks.take(inputs[:, skip:], axis=0)
+            a = asked[:, :, dim:] @ told[:, :, :dim].transpose(0, 2, 1)
             a += bias
             np.minimum(a, 60, out=a)
             np.exp(a, out=a)
-            o = a @ v
-            o /= a.sum(2, keepdims=True)
-            _, h = self._hidden(x[wanted] + o[wanted] @ p["out"])
-            where = index[wanted]
-            target = symbols[where]
-            group, member = target // WIDE, target % WIDE
-            z = np.minimum(h @ p["group"] + p["group_bias"], 60)
-            own = z[np.arange(len(z)), group]
+            a[before, :, :skip] = 0
+            o = (a @ told[:, :, dim:]).reshape(-1, dim + 1)
+            h1 = o[:, :dim] * (1 / np.maximum(o[:, dim:], np.float32(1e-30)))
+            h1 += asked[:, :, :dim].reshape(-1, dim)
+            f = h1 @ p["up"]
+            f += p["up_bias"]
+            np.maximum(f, 0, out=f)
+            h = np.ones((len(h1), dim + 1), kind)
+            np.matmul(f, p["down"], out=h[:, :dim])
+            h[:, :dim] += h1
+            rows = np.flatnonzero(wanted)
+            where = targets.ravel()
+            if len(rows) < len(h):
+                h, where = h.take(rows, axis=0), where.take(rows)
+            target = symbols.take(where)
+            group, row = target // WIDE, np.arange(0, len(target) * WIDE, WIDE)
+            z = h @ group_table
+            np.minimum(z, 60, out=z)
+            own = z.ravel().take(row + group)
             np.exp(z, out=z)
-            total = z.sum(1)
-            opens[where] = np.log(z[:, : self.openers].sum(1) / total)
+            total, opening = (z @ sums).T
+            opens[where] = np.log(opening / total)
             order, classes = self._by_class(group)
-            z_member = self._members(h[order], classes)
-            own[order] += z_member[np.arange(len(z)), member[order]]
-            np.exp(z_member, out=z_member)
-            total[order] *= z_member.sum(1)
+            z = self._members(h.take(order, axis=0), member_table, classes)
+            own[order] += z.ravel().take(row + (target % WIDE).take(order))
+            np.exp(z, out=z)
+            total[order] *= z @ one
             out[where] = own - np.log(total)
         return out, opens
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the wanted places of windows, and its gradients."""
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray, before: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the wanted places of windows, and its gradients.
+
+        `targets` and `wanted` are of the last places of each window; where fewer than
+        the inputs, the inputs without a target stand before the text in the windows `before`.
+        """
         p = self.p
-        x = p["embed"][inputs]
-        q, k, v, attention, o = self._attend(x)
-        h1 = x[wanted] + o[wanted] @ p["out"]
-        f, h = self._hidden(h1)
-        n = len(h)
-        target = targets[wanted]
-        group, member = target // WIDE, target % WIDE
-        row = np.arange(n)
-        z = np.minimum(h @ p["group"] + p["group_bias"], 60)
-        own = z[row, group]
-        np.exp(z, out=z)
-        total = z.sum(1)
-        loss = np.log(total).sum() - own.sum()
-        z /= total[:, None] * n
-        z[row, group] -= 1 / n
-        g = {"group": h.T @ z, "group_bias": z.sum(0), "member": np.zeros_like(p["member"]), "member_bias": np.zeros_like(p["member_bias"])}
-        dh = z @ p["group"].T
+        (w, t), r = inputs.shape, wanted.shape[1]
+        skip, d = t - r, p["query"].shape[1]
+        kind, scale = p["embed"].dtype, np.float32(1 / np.sqrt(d))
+        ids = inputs.ravel()
+        x = p["embed"].take(ids, axis=0)
+        mine = x.reshape(w, t, d)[:, skip:].reshape(-1, d)
+        both, query = np.hstack([p["key"], p["value"]]), p["query"] * scale
+        kv = (x @ both).reshape(w, t, 2 * d)
+        k, v = kv[:, :, :d], kv[:, :, d:]
+        q = (mine @ query).reshape(w, r, d)
+        attention = q @ k.transpose(0, 2, 1)
+        attention += self._bias(self.window)[skip:t, :t]
+        np.minimum(attention, 60, out=attention)
+        np.exp(attention, out=attention)
+        if before is not None:
+            attention[before, :, :skip] = 0
+        total = attention @ np.ones(t, kind)
+        attention *= (1 / np.maximum(total, np.float32(1e-30)))[:, :, None]
+        o = (attention @ v).reshape(-1, d)
+        h1 = o @ p["out"]
+        h1 += mine
+        f = h1 @ p["up"]
+        f += p["up_bias"]
+        np.maximum(f, 0, out=f)
+        h = np.ones((len(h1), d + 1), kind)
+        np.matmul(f, p["down"], out=h[:, :d])
+        h[:, :d] += h1
+        rows = np.flatnonzero(wanted)
+        n, some = len(rows), len(rows) < len(h)
+        target = targets.ravel()
+        if some:
+            h, target = h.take(rows, axis=0), target.take(rows)
+        group, row = target // WIDE, np.arange(0, n * WIDE, WIDE)
+        group_table, member_table = self._tables()
+        one, share = np.ones(WIDE, kind), kind.type(1 / max(n, 1))
+
+        def softened(z: np.ndarray, at: np.ndarray) -> float:
+            """Logits to their gradients; returns the loss."""
+            own = z.ravel().take(at).sum()
+            np.exp(z, out=z)
+            total = z @ one
+            z *= (share / total)[:, None]
+            z.ravel()[at] -= share
+            return np.log(total).sum() - own
+
+        z = h @ group_table
+        np.minimum(z, 60, out=z)
+        loss = softened(z, row + group)
+        of_group = h.T @ z
+        of_h = z @ p["group"].T
         order, classes = self._by_class(group)
-        sorted_h, member = h[order], member[order]
-        z = self._members(sorted_h, classes)
-        own = z[row, member]
-        np.exp(z, out=z)
-        total = z.sum(1)
-        loss += np.log(total).sum() - own.sum()
-        z /= total[:, None] * n
-        z[row, member] -= 1 / n
-        back = np.empty_like(sorted_h)
+        sorted_h = h.take(order, axis=0)
+        z = self._members(sorted_h, member_table, classes)
+        loss += softened(z, row + (target % WIDE).take(order))
+        of_member = np.zeros_like(member_table)
+        back = np.empty((n, d), kind)
         for c, a, b in classes:
-            np.matmul(sorted_h[a:b].T, z[a:b], out=g["member"][c])
+            np.matmul(sorted_h[a:b].T, z[a:b], out=of_member[c])
             np.matmul(z[a:b], p["member"][c].T, out=back[a:b])
-            g["member_bias"][c] = z[a:b].sum(0)
-        dh[order] += back
-        df = (dh @ p["down"].T) * (f > 0)
-        g["down"], g["up"], g["up_bias"] = f.T @ dh, h1.T @ df, df.sum(0)
-        dh1 = dh + df @ p["up"].T
-        dx = np.zeros_like(x)
-        dx[wanted] = dh1
-        g["out"] = o[wanted].T @ dh1
-        do = np.zeros_like(x)
-        do[wanted] = dh1 @ p["out"].T
-        da = do @ v.transpose(0, 2, 1)
-        dv = attention.transpose(0, 2, 1) @ do
-        da -= (da * attention).sum(2, keepdims=True)
-        ds = attention * da
-        t = x.shape[1]
-        g["near"] = np.bincount(self.back[:t, :t].ravel(), weights=np.where(self.future[:t, :t], 0, ds.sum(0)).ravel(), minlength=self.window).astype(np.float32)
-        ds *= np.float32(1 / np.sqrt(x.shape[2]))
-        d = x.shape[2]
-        flat, flat_dx = x.reshape(-1, d), dx.reshape(-1, d)
-        for name, part in (("query", ds @ k), ("key", ds.transpose(0, 2, 1) @ q), ("value", dv)):
-            part = part.reshape(-1, d)
-            g[name] = flat.T @ part
-            flat_dx += part @ p[name].T
+        g = {"group": of_group[:d], "group_bias": of_group[d], "member": of_member[:, :d], "member_bias": of_member[:, d]}
+        of_h[order] += back
+        dh = of_h
+        if some:
+            dh = np.zeros_like(h1)
+            dh[rows] = of_h
+        df = dh @ p["down"].T
+        df *= f > 0
+        g["down"], g["up"], g["up_bias"] = f.T @ dh, h1.T @ df, np.ones(len(df), kind) @ df
+        dh += df @ p["up"].T
+        g["out"] = o.T @ dh
+        do = dh @ p["out"].T
+        ds = do.reshape(w, r, d) @ v.transpose(0, 2, 1)
+        # the weights of a place add up to one, so what they share is what the output has
+        ds -= np.einsum("ij,ij->i", do, o).reshape(w, r, 1)
+        ds *= attention
+        dkv = np.empty((w, t, 2 * d), kind)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
+        np.matmul(attention.transpose(0, 2, 1), do.reshape(w, r, d), out=dkv[:, :, d:])
+        dq = (ds @ k).reshape(-1, d)
+        back_of, near = self.back[skip:t, :t], (np.ones(w, kind) @ ds.reshape(w, -1)).reshape(r, t)
+        g["near"] = np.bincount(back_of.ravel(), weights=np.where(self.future[skip:t, :t], 0, near).ravel(), minlength=self.window).astype(np.float32)
+        dkv = dkv.reshape(-1, 2 * d)
+        of_both = x.T @ dkv
+        g["query"], g["key"], g["value"] = (mine.T @ dq) * scale, of_both[:, :d], of_both[:, d:]
+        dx = dkv @ both.T
+        dh += dq @ query.T
+        dx.reshape(w, t, d)[:, skip:] += dh.reshape(w, r, d)
         g["embed"] = np.zeros_like(p["embed"])
-        order = np.argsort(inputs.ravel(), kind="stable")
-        ids = inputs.ravel()[order]
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids = ids[order]
         begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g["embed"][ids[begins]] = np.add.reduceat(dx.reshape(-1, d)[order], begins, axis=0)
-        return float(loss / n), g
+        g["embed"][ids[begins]] = np.add.reduceat(dx.take(order, axis=0), begins, axis=0)
+        return float(loss / max(n, 1)), g
 
     def train(self, symbols: np.ndarray, lengths: np.ndarray, steps: int, batch: int = 96, rate: float = 0.01, seed: int = 0) -> float:
         """Adam steps on windows drawn at random; returns the mean loss of the last tenth."""
@@ -210,29 +278,45 @@ class Attention:
         return n
 
     def moments(self) -> list:
-        """First and second moments of Adam, and the steps so far."""
-        return [{n: np.zeros_like(v) for n, v in self.p.items()}, {n: np.zeros_like(v) for n, v in self.p.items()}, 0]
+        """First and second moments of Adam, weights end to end, and the steps so far."""
+        n = sum(v.size for v in self.p.values())
+        return [np.zeros(n, np.float32), np.zeros(n, np.float32), 0]
 
     def _descend(self, symbols: np.ndarray, lengths: np.ndarray, picks, pace_of, state: list) -> list[float]:
+        _keep_freed_memory()
         text, begin, scored = self.windows(lengths)
         starts = np.cumsum(lengths) - lengths
         previous = np.empty(len(symbols), np.int64)
         previous[1:] = symbols[:-1]
         previous[starts[lengths > 0]] = 0
         first, second, step = state
-        place, losses = np.arange(self.window), []
+        # all weights in one piece, of which each is a view
+        weights = np.concatenate([v.ravel() for v in self.p.values()])
+        at = 0
+        for n, v in self.p.items():
+            self.p[n] = weights[at : at + v.size].reshape(v.shape)
+            at += v.size
+        g, move, losses = np.empty_like(weights), np.empty_like(weights), []
         for pick in picks:
             step += 1
-            t, b, s = text[pick], begin[pick], scored[pick]
-            inside = b[:, None] + place
-            wanted = (inside >= s[:, None]) & (inside < lengths[t][:, None])
-            index = starts[t][:, None] + np.minimum(inside, lengths[t][:, None] - 1)
-            loss, g = self.gradients(previous[index], symbols[index], wanted)
+            t = text[pick]
+            index, before, targets, wanted = self._placed(begin[pick], scored[pick], lengths[t], starts[t])
+            loss, found = self.gradients(previous.take(index), symbols.take(targets), wanted, before)
             losses.append(loss)
+            np.concatenate([found[n].ravel() for n in self.p], out=g)
             pace = pace_of(step)
-            for n, v in g.items():
-                first[n] += 0.1 * (v - first[n])
-                second[n] += 0.01 * (v * v - second[n])
-                self.p[n] -= (pace * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            first *= 0.9
+            np.multiply(g, 0.1, out=move)
+            first += move
+            second *= 0.99
+            g *= g
+            g *= 0.01
+            second += g
+            np.multiply(second, 1 / (1 - 0.99**step), out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(first, g, out=move)
+            move *= pace / (1 - 0.9**step)
+            weights -= move
         state[2] = step
         return losses

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import base64
 import copy
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -164,13 +164,18 @@ def _packed(texts: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndar
     """Symbols of texts end to end, and their numbers."""
     if not texts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    words = [words_of(t) for t in texts]
-    place = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__
+    index = []
+    for t in texts:
+        index.extend(map(place.__getitem__, words_of(t)))
+        index.append(-1)
     spelling = Spelling([w.decode() for w in place], subwords)
-    index = [i for ws in words for i in (*map(place.__getitem__, ws), spelling.end)]
-    symbols, first = spelling.spell(np.array(index))
-    stop = np.r_[first[1:], len(symbols)][np.cumsum([len(ws) + 1 for ws in words]) - 1]
-    return symbols, np.diff(np.r_[0, stop])
+    index = np.array(index)
+    ends = np.flatnonzero(index < 0)
+    index[ends] = spelling.end
+    symbols, first = spelling.spell(index)
+    return symbols, np.diff(np.r_[0, np.r_[first[1:], len(symbols)][ends]])
 
 
 def _mean(parts: list[tuple[int, int, bytes]]) -> tuple[int, bytes]:

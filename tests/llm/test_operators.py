@@ -257,6 +257,38 @@ def test_attention_gradients_and_single_scoring():
     assert model.log_probs(changed, lengths)[0][:10] == pytest.approx(whole[:10], abs=1e-5)
 
 
+def test_places_are_computed_once(monkeypatch):
+    from findwell.llm.attention import SYMBOLS, Attention
+
+    rng = np.random.default_rng(5)
+    model = Attention(np.ones(SYMBOLS), dim=4, inner=6, window=8, stride=5)
+    whole = Attention.gradients
+    lengths = np.array([0, 1, 2, 3, 4, 8, 9, 13, 14, 400])
+    symbols = rng.integers(0, 99, lengths.sum())
+    text, begin, scored = model.windows(lengths)
+    starts = (np.cumsum(lengths) - lengths)[text]
+    seen = []
+
+    def counted(self, inputs, targets, wanted, *more):
+        seen.append(targets.size)
+        loss, g = whole(self, inputs, targets, wanted, *more)
+        # the same batch as whole windows, all places of which have a target
+        inside = begin[:, None] + np.arange(8)
+        limit = lengths[text][:, None]
+        index = starts[:, None] + np.minimum(inside, limit - 1)
+        previous = np.where(index == starts[:, None], 0, symbols[index - 1])
+        same, by_windows = whole(self, previous, symbols[index], (inside >= scored[:, None]) & (inside < limit))
+        assert loss == pytest.approx(same, rel=1e-5)
+        for name, v in by_windows.items():
+            assert g[name] == pytest.approx(v, abs=1e-5)
+        return loss, g
+
+    monkeypatch.setattr(Attention, "gradients", counted)
+    assert model.train_all(symbols, lengths, model.moments(), 0.01, batch=len(text)) == len(text)
+    # windows of 8 places for 5 new ones each took 1.6 places a symbol
+    assert sum(seen) < 1.3 * len(symbols)
+
+
 def test_next_words_and_the_end_sum_to_one():
     from findwell.llm.attention import SYMBOLS, WIDE, Attention
 

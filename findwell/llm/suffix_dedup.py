@@ -16,7 +16,8 @@ are sent, by the anchor, to be sorted. Anchors with many different stretches are
 split first: their stretches are cut into parts by the distance from the anchor, and
 the parts that share all bytes which their strings have in common are sorted
 together. Where such parts are still too many, they are cut down to single strings,
-which are equal or not, by 128 bits of hashes. No task holds an anchor.
+which are equal or not, by 128 bits of hashes. No task holds an anchor. Texts are
+dealt out once to be cut, when those of crowded anchors are kept for these steps.
 
 How rows are dealt out follows a sample of rows: anchors that are frequent there are
 spread by content, and rows of a content that is frequent there, so repeated for
@@ -262,6 +263,9 @@ def _sieve(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[p
             yield out
 
 
+_PIECE = "key bigint, doc bigint, first int, more int, bytes binary"
+
+
 def _cut(length: int):
     """Bytes of the stretches wanted of each text, by their keys."""
 
@@ -279,6 +283,25 @@ def _cut(length: int):
     return run
 
 
+def _cut_apart(length: int):
+    """As `_cut`, but texts with stretches of crowded anchors return whole, once, with the list of these."""
+    cut = _cut(length)
+    places = pa.list_(pa.struct([("first", pa.int32()), ("more", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2).to_pylist()
+            lists = [[[w for w in ws if w["crowded"] == c] for ws in wanted] for c in (False, True)]
+            kind = batch.schema.field(2).type
+            for piece in cut(iter([batch.set_column(2, batch.schema.field(2), pa.array(lists[0], kind))])):
+                yield piece.append_column("wanted", pa.nulls(piece.num_rows, places))
+            for part in chunks(iter([batch.set_column(2, "wanted", pa.array([[{"first": w["first"], "more": w["more"]} for w in ws] for ws in lists[1]], places)).filter(pa.array([bool(ws) for ws in lists[1]]))])):
+                n, text = part.num_rows, part.column(1).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), part.column(0), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), text, part.column(2)], names=["key", "doc", "first", "more", "bytes", "wanted"])
+
+    return run
+
+
 # crowded anchors ----------------------------------------------------------------
 
 
@@ -358,9 +381,9 @@ def _with_wanted(docs: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
     return docs.join(rows.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("wanted")), "doc").select("doc", "text", "wanted")
 
 
-def _repeated_parts(docs: DataFrame, opened: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, n, doc, first, more) of the parts of stretches `opened` (doc, first, more) whose shared bytes occur n times."""
-    found = saved(_with_wanted(docs, opened, "first", "more").mapInArrow(_find_parts(length, gram), "key bigint, doc bigint, first int, more int"), "parts")
+def _repeated_parts(crowded: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, n, doc, first, more) of the parts of stretches `wanted` of `crowded` (doc, text, wanted) whose shared bytes occur n times."""
+    found = saved(crowded.mapInArrow(_find_parts(length, gram), "key bigint, doc bigint, first int, more int"), "parts")
     return saved(_occurring_again(found, ["key"], "repeated-parts"), "parts-again")
 
 
@@ -436,10 +459,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spli
     crowded = saved(opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("key"), "crowded")
     spans = whole
     if crowded.count():
-        parts = _repeated_parts(docs, opened.join(sent(crowded), "key", "left_semi"), length, gram)
-        opened = opened.join(sent(crowded), "key", "left_anti").unionByName(parts.where(F.col("n") <= split).drop("n"))
-        spans = spans.unionByName(_repeated_strings(docs, parts.where(F.col("n") > split), length))
-    pieces = _with_wanted(docs, opened, "key", "first", "more").mapInArrow(_cut(length), "key bigint, doc bigint, first int, more int, bytes binary")
+        # all texts are dealt out by their numbers once; those of crowded anchors are kept for what follows
+        told = opened.join(sent(crowded.withColumn("crowded", F.lit(True))), "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        apart = saved(_with_wanted(docs, told, "key", "first", "more", "crowded").mapInArrow(_cut_apart(length), f"{_PIECE}, wanted array<struct<first:int,more:int>>"), "pieces")
+        few = apart.where(F.col("wanted").isNotNull()).select("doc", F.col("bytes").cast("string").alias("text"), "wanted")
+        parts = _repeated_parts(few, length, gram)
+        of_parts = _with_wanted(few.drop("wanted"), parts.where(F.col("n") <= split), "key", "first", "more").mapInArrow(_cut(length), _PIECE)
+        pieces = apart.where(F.col("wanted").isNull()).drop("wanted").unionByName(of_parts)
+        spans = spans.unionByName(_repeated_strings(few.drop("wanted"), parts.where(F.col("n") > split), length))
+    else:
+        pieces = _with_wanted(docs, opened, "key", "first", "more").mapInArrow(_cut(length), _PIECE)
     sorted_out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "doc bigint, a int, b int")
     return saved(sorted_out, "sorted-spans").unionByName(spans)
 

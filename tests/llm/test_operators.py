@@ -555,6 +555,33 @@ def test_one_passage_in_many_texts(spark):
     assert as_rows(got.drop("removed")) == _cut(rows, 200)
 
 
+def test_all_texts_are_dealt_out_once(spark, monkeypatch):
+    rng = random.Random(8)
+
+    def word(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz é", k=n))
+
+    # texts of a crowded anchor, with repeats of one another; those of others; and texts that share nothing
+    passage, other, rows = word(150), word(260), []
+    for k in range(300):
+        near = rows[rng.randrange(len(rows))][1] if k % 10 == 9 else ""
+        rows.append((k, word(30) + near[-210:] + word(20) if near else word(60) + passage + word(60)))
+    rows += [(300 + k, word(40) + other + word(40)) for k in range(20)] + [(400 + k, word(400)) for k in range(200)]
+    joined, whole = [], suffix_dedup._with_wanted
+
+    def counted(docs, *more):
+        joined.append(docs.count())
+        return whole(docs, *more)
+
+    monkeypatch.setattr(suffix_dedup, "_with_wanted", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for split in (20, 2):
+        joined.clear()
+        assert as_rows(suffix_dedup.removal(df, split=split).drop("removed")) == _cut(rows, 200)
+        # before, each step for crowded anchors asked for all texts again
+        assert joined[0] == len(rows) and max(joined[1:]) <= 320
+
+
 def test_equal_rows_and_frequent_contents(spark):
     rng = random.Random(6)
 

@@ -45,10 +45,13 @@ class Attention:
         self.future = j > i
 
     @staticmethod
-    def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """An order of rows by class, and the (class, begin, end) of those that have rows."""
+    def _by_class(rows: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Rows in the order of their targets' classes, their targets, and the (class, begin, end) of those that have rows."""
+        targets = targets.take(rows)
+        group = targets // WIDE
         ends = np.cumsum(np.bincount(group, minlength=WIDE)).tolist()
-        return np.argsort(group.astype(np.uint8), kind="stable"), [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        return rows.take(order), targets.take(order), [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
     @staticmethod
     def _members(h: np.ndarray, table: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
@@ -99,7 +102,7 @@ class Attention:
         own = inside[:, skip:]
         return index, before, index[:, skip:], (own >= scored[:, None]) & (own < limit[:, None])
 
-    def log_probs(self, symbols: np.ndarray, lengths: np.ndarray, block: int = 96) -> tuple[np.ndarray, np.ndarray]:
+    def log_probs(self, symbols: np.ndarray, lengths: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probabilities at every symbol of texts laid end to end: of the symbol, and of one that begins a word.
 
         Each place is scored once, given what precedes it.
@@ -139,11 +142,9 @@ class Attention:
             h = np.ones((len(h1), dim + 1), kind)
             np.matmul(f, p["down"], out=h[:, :dim])
             h[:, :dim] += h1
-            rows = np.flatnonzero(wanted)
             where = targets.ravel()
-            if len(rows) < len(h):
-                h, where = h.take(rows, axis=0), where.take(rows)
-            target = symbols.take(where)
+            rows, target, classes = self._by_class(np.flatnonzero(wanted), symbols.take(where))
+            h, where = h.take(rows, axis=0), where.take(rows)
             group, row = target // WIDE, np.arange(0, len(target) * WIDE, WIDE)
             z = h @ group_table
             np.minimum(z, 60, out=z)
@@ -151,11 +152,10 @@ class Attention:
             np.exp(z, out=z)
             total, opening = (z @ sums).T
             opens[where] = np.log(opening / total)
-            order, classes = self._by_class(group)
-            z = self._members(h.take(order, axis=0), member_table, classes)
-            own[order] += z.ravel().take(row + (target % WIDE).take(order))
+            z = self._members(h, member_table, classes)
+            own += z.ravel().take(row + target % WIDE)
             np.exp(z, out=z)
-            total[order] *= z @ one
+            total *= z @ one
             out[where] = own - np.log(total)
         return out, opens
 
@@ -171,33 +171,31 @@ class Attention:
         kind, scale = p["embed"].dtype, np.float32(1 / np.sqrt(d))
         ids = inputs.ravel()
         x = p["embed"].take(ids, axis=0)
-        mine = x.reshape(w, t, d)[:, skip:].reshape(-1, d)
-        both, query = np.hstack([p["key"], p["value"]]), p["query"] * scale
-        kv = (x @ both).reshape(w, t, 2 * d)
+        # keys, values and queries are computed for each symbol, not for each place, values with what "out" makes of them
+        both, query = np.hstack([p["key"], p["value"] @ p["out"]]), p["query"] * scale
+        kv = (p["embed"] @ both).take(inputs, axis=0)
         k, v = kv[:, :, :d], kv[:, :, d:]
-        q = (mine @ query).reshape(w, r, d)
+        mine = np.hstack([p["embed"], p["embed"] @ query]).take(inputs[:, skip:], axis=0)
+        q, mine = mine[:, :, d:], mine[:, :, :d].reshape(-1, d)
         attention = q @ k.transpose(0, 2, 1)
         attention += self._bias(self.window)[skip:t, :t]
         np.minimum(attention, 60, out=attention)
         np.exp(attention, out=attention)
         if before is not None:
             attention[before, :, :skip] = 0
-        total = attention @ np.ones(t, kind)
-        attention *= (1 / np.maximum(total, np.float32(1e-30)))[:, :, None]
+        flat = attention.reshape(-1, t)
+        flat *= (1 / np.maximum(flat @ np.ones(t, kind), np.float32(1e-30)))[:, None]
         o = (attention @ v).reshape(-1, d)
-        h1 = o @ p["out"]
-        h1 += mine
+        h1 = o + mine
         f = h1 @ p["up"]
         f += p["up_bias"]
         np.maximum(f, 0, out=f)
         h = np.ones((len(h1), d + 1), kind)
         np.matmul(f, p["down"], out=h[:, :d])
         h[:, :d] += h1
-        rows = np.flatnonzero(wanted)
-        n, some = len(rows), len(rows) < len(h)
-        target = targets.ravel()
-        if some:
-            h, target = h.take(rows, axis=0), target.take(rows)
+        rows, target, classes = self._by_class(np.flatnonzero(wanted), targets.ravel())
+        n = len(rows)
+        h = h.take(rows, axis=0)
         group, row = target // WIDE, np.arange(0, n * WIDE, WIDE)
         group_table, member_table = self._tables()
         one, share = np.ones(WIDE, kind), kind.type(1 / max(n, 1))
@@ -216,40 +214,35 @@ class Attention:
         loss = softened(z, row + group)
         of_group = h.T @ z
         of_h = z @ p["group"].T
-        order, classes = self._by_class(group)
-        sorted_h = h.take(order, axis=0)
-        z = self._members(sorted_h, member_table, classes)
-        loss += softened(z, row + (target % WIDE).take(order))
+        z = self._members(h, member_table, classes)
+        loss += softened(z, row + target % WIDE)
         of_member = np.zeros_like(member_table)
         back = np.empty((n, d), kind)
         for c, a, b in classes:
-            np.matmul(sorted_h[a:b].T, z[a:b], out=of_member[c])
+            np.matmul(h[a:b].T, z[a:b], out=of_member[c])
             np.matmul(z[a:b], p["member"][c].T, out=back[a:b])
         g = {"group": of_group[:d], "group_bias": of_group[d], "member": of_member[:, :d], "member_bias": of_member[:, d]}
-        of_h[order] += back
-        dh = of_h
-        if some:
-            dh = np.zeros_like(h1)
-            dh[rows] = of_h
+        of_h += back
+        dh = np.zeros_like(h1)
+        dh[rows] = of_h
         df = dh @ p["down"].T
         df *= f > 0
         g["down"], g["up"], g["up_bias"] = f.T @ dh, h1.T @ df, np.ones(len(df), kind) @ df
         dh += df @ p["up"].T
-        g["out"] = o.T @ dh
-        do = dh @ p["out"].T
-        ds = do.reshape(w, r, d) @ v.transpose(0, 2, 1)
+        ds = dh.reshape(w, r, d) @ v.transpose(0, 2, 1)
         # the weights of a place add up to one, so what they share is what the output has
-        ds -= np.einsum("ij,ij->i", do, o).reshape(w, r, 1)
+        ds -= np.einsum("ij,ij->i", dh, o).reshape(w, r, 1)
         ds *= attention
         dkv = np.empty((w, t, 2 * d), kind)
         np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :d])
-        np.matmul(attention.transpose(0, 2, 1), do.reshape(w, r, d), out=dkv[:, :, d:])
+        np.matmul(attention.transpose(0, 2, 1), dh.reshape(w, r, d), out=dkv[:, :, d:])
         dq = (ds @ k).reshape(-1, d)
         back_of, near = self.back[skip:t, :t], (np.ones(w, kind) @ ds.reshape(w, -1)).reshape(r, t)
         g["near"] = np.bincount(back_of.ravel(), weights=np.where(self.future[skip:t, :t], 0, near).ravel(), minlength=self.window).astype(np.float32)
         dkv = dkv.reshape(-1, 2 * d)
         of_both = x.T @ dkv
-        g["query"], g["key"], g["value"] = (mine.T @ dq) * scale, of_both[:, :d], of_both[:, d:]
+        g["query"], g["key"], of_out = (mine.T @ dq) * scale, of_both[:, :d], of_both[:, d:]
+        g["value"], g["out"] = of_out @ p["out"].T, p["value"].T @ of_out
         dx = dkv @ both.T
         dh += dq @ query.T
         dx.reshape(w, t, d)[:, skip:] += dh.reshape(w, r, d)
